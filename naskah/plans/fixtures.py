@@ -180,6 +180,22 @@ VIEWS: dict[str, str] = {
                t1 AS title
         FROM {{plant_base}}
     """,
+    "conversations_text": """
+        SELECT conv_id * 1000 + turn AS doc_id, text FROM {conversations}
+    """,
+    # Title pages with none, one or several masthead signals.
+    "plant_front": f"""
+        SELECT page_id, CASE page_id % 6
+            WHEN 0 THEN 'Jurnal Contoh Vol. 4 No. 2 ISSN 1234-5678' || {NL} || 'A B S T R A K isi' || {NL}
+                 || 'P E N D A H U L U A N ' || body
+            WHEN 1 THEN 'Volume 12 tanpa sinyal lain. INTRODUCTION ' || body
+            WHEN 2 THEN 'E-ISSN 2345, surel: a.b@contoh.ac.id. Introduction' || body
+            WHEN 3 THEN 'DOI: 10.1000/x ISBN 978. Latar   Belakang terlalu pendek'
+            WHEN 4 THEN 'DOI 10.1/y dan Nomor 7, tanpa pembuka. ' || body
+            ELSE body END AS content
+        FROM (SELECT page_id, 'Isi halaman ' || url || ' yang cukup panjang untuk dinilai oleh pencocok kutipan sebagai badan teks.' AS body
+              FROM {{pages}}) x
+    """,
 }
 
 
