@@ -219,7 +219,7 @@ def fold_accents(text: Column, table: tuple[str, str] = _LATIN) -> Column:
 
 def fold_name(text: Column) -> Column:
     """Name form: folded, straight quotes, plain dashes without blanks around."""
-    folded = F.regexp_replace(fold_accents(text), r"[\u2018\u2019`]", "'")
+    folded = F.regexp_replace(fold_accents(text), r"`", "'")
     return strip(F.regexp_replace(folded, rf"{WS}*[-–—]{WS}*", "-"))
 
 

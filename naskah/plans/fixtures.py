@@ -180,6 +180,14 @@ VIEWS: dict[str, str] = {
                t1 AS title
         FROM {{plant_base}}
     """,
+    # One bibliography entry per order, plus forms without year, author or link.
+    "plant_entries": f"""
+        SELECT k AS entry_id, CASE k % 13
+            WHEN 11 THEN 'Tanpa tahun dan tanpa pengarang, hanya teks panjang.'
+            WHEN 12 THEN 'catatan doi: 10.1000/abc.' || k || '). Lihat http://a.b/c, http://doi.org/10.1/x tahun 2021 saja'
+            ELSE {pick("k", _ENTRY)} END AS raw_text
+        FROM {{plant_base}}
+    """,
     "conversations_text": """
         SELECT conv_id * 1000 + turn AS doc_id, text FROM {conversations}
     """,
