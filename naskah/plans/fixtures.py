@@ -188,6 +188,15 @@ VIEWS: dict[str, str] = {
             ELSE {pick("k", _ENTRY)} END AS raw_text
         FROM {{plant_base}}
     """,
+    # Uploaded files whose title or first page holds a reference of the job, or nothing.
+    "plant_files": f"""
+        SELECT job_id, k AS file_id,
+               CASE k % 4 WHEN 0 THEN t1 || ' (' || y1 || ')' WHEN 1 THEN '' WHEN 2 THEN 'dokumen ' || a2 || ' ' || y1
+                    ELSE 'scan0001' END AS title,
+               CASE k % 3 WHEN 0 THEN 'Oleh ' || a1 || ' tahun ' || y1 || ' tentang ' || t1
+                    WHEN 1 THEN '' ELSE 'bigdata mining ' || a3 END AS first_page
+        FROM {{plant_base}}
+    """,
     "conversations_text": """
         SELECT conv_id * 1000 + turn AS doc_id, text FROM {conversations}
     """,
