@@ -197,6 +197,13 @@ VIEWS: dict[str, str] = {
                     WHEN 1 THEN '' ELSE 'bigdata mining ' || a3 END AS first_page
         FROM {{plant_base}}
     """,
+    # A context per benchmark text, searched in one source; some lack keywords altogether.
+    "passage_queries": """
+        SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR(10)) AS source_id,
+               CASE WHEN item_id % 9 = 4 THEN lower(text)
+                    WHEN item_id % 5 = 1 THEN text || ' (Santoso, 2020).' ELSE text END AS context
+        FROM {benchmark}
+    """,
     "conversations_text": """
         SELECT conv_id * 1000 + turn AS doc_id, text FROM {conversations}
     """,
