@@ -22,12 +22,12 @@ REDUP = r"^([a-zà-ÿ]+)-\1$"
 REDUP_AFFIXED = r"^(ber|me|di|ter|pe|pem|pen|peng)?([a-zà-ÿ]+)-\2(an|kan|nya)?$"
 
 
-def is_structural(token: Column, at_sentence_start: Column) -> Column:
+def is_structural(token: Column, at_start: Column) -> Column:
     """Tokens that are no words to look up: names, codes, fragments, Roman page numbers."""
     return (
         token.rlike(r"^[A-Z]{2,}\z")
         | token.rlike(r"^[0-9]+\z")
-        | (~at_sentence_start & token.rlike("^[A-Z]"))
+        | (~at_start & token.rlike("^[A-Z]"))
         | token.rlike("[a-z][A-Z]")
         | F.endswith(token, F.lit("-"))
         | F.startswith(token, F.lit("-"))
@@ -37,15 +37,6 @@ def is_structural(token: Column, at_sentence_start: Column) -> Column:
     )
 
 
-def at_sentence_start(text: Column, offset: Column) -> Column:
-    """The token opens the page or follows ``.``, ``!`` or ``?`` and blanks."""
-    before = T.slice_text(text, offset - 64, offset)
-    long_gap = before.rlike(T.js(r"^\s+$")) & (offset > 64)
-    near = before.rlike(T.js(r"[.!?]\s+$"))
-    far = F.substring(text, 1, offset).rlike(T.js(r"[.!?]\s+$"))
-    return (offset == 0) | F.when(long_gap, far).otherwise(near)
-
-
 def skip_ranges(content: Column) -> Column:
     """Links, "et al.", (Author, Year) and Author & Author (Year)."""
     return F.concat(
@@ -84,18 +75,91 @@ def redup_affixed_base(word: Column) -> Column:
 
 
 def token_spans(content: Column) -> Column:
-    """Tokens of a page with offsets; lines are placed first, tokens inside their line."""
-    lines = T.spans(content, "[^\n]+")
+    """Tokens of a page with offsets and the character after each.
+
+    Lines are placed first and tokens inside their line, so no step walks a whole page.
+    """
     return F.flatten(
         F.transform(
-            lines,
-            lambda l: F.transform(
-                T.spans(l["text"], TOKEN),
+            T.spans(content, "[^\n]+"),
+            lambda line: F.transform(
+                T.spans(line["text"], TOKEN),
                 lambda t: F.struct(
-                    (l["start"] + t["start"]).alias("offset"),
-                    (l["start"] + t["end"]).alias("end"),
+                    (line["start"] + t["start"]).alias("offset"),
+                    (line["start"] + t["end"]).alias("end"),
                     t["text"].alias("token"),
+                    F.substring(line["text"], t["end"] + 1, F.lit(1)).alias("gap"),
                 ),
             ),
         )
     )
+
+
+def sentence_starts(content: Column) -> Column:
+    """Offsets at which sentences start."""
+    return F.concat(
+        F.array(F.lit(0)),
+        F.transform(T.spans(content, T.js(r"[.!?]\s+")), lambda s: s["end"]),
+    )
+
+
+def italic_words(content: Column, italic: Column) -> Column:
+    """Lower-case words of two or more letters inside italic ranges."""
+    return F.array_distinct(
+        F.flatten(
+            F.transform(
+                italic,
+                lambda r: F.transform(
+                    F.filter(
+                        F.regexp_extract_all(
+                            T.slice_text(content, r["start"], r["end"]), F.lit(TOKEN), F.lit(0)
+                        ),
+                        lambda w: F.length(w) >= 2,
+                    ),
+                    lambda w: F.lower(w),
+                ),
+            )
+        )
+    )
+
+
+def join_probes(tokens: Column, code: Column) -> Column:
+    """Joined forms of neighbouring tokens that may be one word cut by a blank.
+
+    ``array<struct<joined, offsets>>``: two tokens of 4-16 letters with a side of at most
+    three, or three tokens of 5-18 letters around a single letter.
+    """
+    size = lambda t: F.length(t["token"])
+    touching = lambda a, b: (b["offset"] == a["end"] + 1) & a["gap"].isin(" ", "\t")
+    none = F.array().cast("array<struct<joined:string,offsets:array<int>>>")
+
+    def at(a: Column, b: Column, c: Column) -> Column:
+        both = size(a) + size(b)
+        all3 = both + size(c)
+        pair = (
+            touching(a, b)
+            & ~T.overlaps(a["offset"], b["end"], code)
+            & both.between(4, 16)
+            & ((size(a) <= 3) | (size(b) <= 3))
+        )
+        triple = touching(b, c) & all3.between(5, 18) & (size(b) == 1)
+        two = F.struct(
+            F.lower(F.concat(a["token"], b["token"])).alias("joined"),
+            F.array(a["offset"], b["offset"]).alias("offsets"),
+        )
+        three = F.struct(
+            F.lower(F.concat(a["token"], b["token"], c["token"])).alias("joined"),
+            F.array(a["offset"], b["offset"], c["offset"]).alias("offsets"),
+        )
+        return F.when(
+            pair, F.array_compact(F.array(two, F.when(triple, three)))
+        ).otherwise(none)
+
+    return T.let(
+        tokens,
+        lambda t: F.flatten(
+            F.transform(
+                t, lambda a, i: F.coalesce(at(a, F.get(t, i + 1), F.get(t, i + 2)), none)
+            )
+        ),
+    )

@@ -204,6 +204,22 @@ VIEWS: dict[str, str] = {
                     WHEN item_id % 5 = 1 THEN text || ' (Santoso, 2020).' ELSE text END AS context
         FROM {benchmark}
     """,
+    # Words of all documents, and word lists taken from their frequencies.
+    "plant_words": """
+        SELECT doc_id, source AS job_id, @words(text)@ AS word FROM {documents}
+    """,
+    "plant_dict": "SELECT word FROM {plant_words} WHERE length(word) >= 2 GROUP BY word HAVING count(*) >= 20",
+    "plant_vocab": """
+        SELECT word, CASE length(word) % 6 WHEN 0 THEN 'indonesian' WHEN 1 THEN 'english' WHEN 2 THEN 'tech'
+               WHEN 3 THEN 'brand' WHEN 4 THEN 'ignore' ELSE 'typo' END AS classification
+        FROM {plant_words} WHERE length(word) >= 4 GROUP BY word HAVING count(*) BETWEEN 17 AND 22
+    """,
+    "plant_english": "SELECT word FROM {plant_words} WHERE length(word) >= 4 GROUP BY word HAVING count(*) BETWEEN 10 AND 13",
+    "plant_answers": """
+        SELECT word, length(word) % 2 = 0 AS found,
+               CASE WHEN length(word) % 5 = 0 THEN TIMESTAMP '2024-01-31 23:44:59' ELSE TIMESTAMP '2024-01-31 23:45:00' END AS fetched_at
+        FROM {plant_words} WHERE length(word) >= 3 GROUP BY word HAVING count(*) BETWEEN 6 AND 11
+    """,
     "conversations_text": """
         SELECT conv_id * 1000 + turn AS doc_id, text FROM {conversations}
     """,
@@ -251,7 +267,7 @@ def view(spark: SparkSession, sf_dir: str, view_name: str) -> DataFrame:
     """A derived view, or a given table when there is no view of that name."""
     if view_name not in VIEWS:
         return table(spark, sf_dir, view_name)
-    sql = VIEWS[view_name]
+    sql = re.sub(r"@words\((\w+)\)@", r"explode(regexp_extract_all(lower(\1), '[a-z]+', 0))", VIEWS[view_name])
     df = spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _needs(sql)})
     if view_name in TEXT_VIEWS:
         # A small input would run in one task after the shuffle; a large one has enough.
@@ -269,12 +285,15 @@ def oracle(sql: str) -> str:
         if view_name in VIEWS and view_name not in ctes:
             for n in _needs(VIEWS[view_name]):
                 add(n)
-            ctes[view_name] = VIEWS[view_name]
+            ctes[view_name] = re.sub(
+                r"@words\((\w+)\)@", r"unnest(regexp_extract_all(lower(\1), '[a-z]+'))", VIEWS[view_name]
+            )
 
     for n in _needs(sql):
         add(n)
     body = sql.strip()
     if ctes:
         head = ",\n".join(f"{n} AS MATERIALIZED ({q.strip()})" for n, q in ctes.items())
-        body = f"WITH {head},\n{body[4:]}" if body.upper().startswith("WITH") else f"WITH {head}\n{body}"
+        rest = re.sub(r"^WITH( RECURSIVE)?", "", body)
+        body = f"WITH RECURSIVE {head},\n{rest}" if body.startswith("WITH") else f"WITH {head}\n{body}"
     return re.sub(r"\{(%s)\}" % "|".join([*VIEWS, *TABLES]), r"\1", body)

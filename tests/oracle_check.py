@@ -9,6 +9,7 @@ import glob
 import math
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -41,10 +42,15 @@ def _norm(value):
 
 def compare(df, con, sql: str) -> tuple[bool, str]:
     cols = sorted(df.columns)
-    cur = con.execute(sql)
-    names = [d[0] for d in cur.description]
-    types = {d[0]: str(d[1]) for d in cur.description}
-    want_rows = cur.fetchall()
+    stop = threading.Timer(float(os.environ.get("ORACLE_LIMIT", "90")), con.interrupt)
+    stop.start()
+    try:
+        cur = con.execute(sql)
+        names = [d[0] for d in cur.description]
+        types = {d[0]: str(d[1]) for d in cur.description}
+        want_rows = cur.fetchall()
+    finally:
+        stop.cancel()
     if sorted(names) != cols:
         return False, f"columns {cols} != {sorted(names)}"
     bad = [
