@@ -16,7 +16,12 @@ from naskah.plans.registry import query, spans_sql
 DOCS = "{documents}"
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 _TOKEN = W.TOKEN.replace("'", "''")
-TOK = spans_sql("dp", "job_id, page_number", "text", W.TOKEN)
+# Tokens with running offsets; the gap before a token shows whether a sentence ended.
+TOK = f"""SELECT job_id, page_number, txt, CAST(c - length(txt) AS INTEGER) AS s, CAST(c AS INTEGER) AS e, left(nextgap, 1) AS g, left(nextgap, 6) AS g6,
+    c = length(txt) OR regexp_matches(gap, '[.!?]\\s+$') AS at_start
+  FROM (SELECT *, sum(length(gap) + length(txt)) OVER (PARTITION BY job_id, page_number ORDER BY i) AS c FROM (
+    SELECT job_id, page_number, unnest(m) AS txt, unnest(q[1:len(m)]) AS gap, unnest(q[2:len(m) + 1]) AS nextgap, unnest(range(1, len(m) + 1)) AS i
+    FROM (SELECT job_id, page_number, regexp_extract_all(text, '{_TOKEN}') AS m, regexp_split_to_array(text, '{_TOKEN}') AS q FROM dp) y) x) z"""
 DP = "dp AS (SELECT source AS job_id, doc_id AS page_number, text FROM {documents})"
 
 
@@ -58,13 +63,11 @@ def load_vocabulary(spark, sf):
     return D.load_vocabulary(spark, path)
 
 
-# Documents have short gaps, so the last 40 characters show whether a sentence ended.
-_ATSTART = "(s = 0 OR regexp_matches(substr(src, greatest(s - 40, 0) + 1, least(s, 40)), '[.!?]\\s+$'))"
 
 
 @query(
     "pf8_structural",
-    f"""WITH {DP}, t AS ({TOK}), w AS (SELECT txt AS token, {_ATSTART} AS at_start, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1, 2)
+    f"""WITH {DP}, t AS MATERIALIZED ({TOK}), w AS (SELECT txt AS token, at_start, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1, 2)
        SELECT token, at_start, n, regexp_matches(token, '^[A-Z]{{2,}}$') OR (NOT at_start AND regexp_matches(token, '^[A-Z]'))
          OR regexp_matches(token, '[a-z][A-Z]') OR regexp_matches(token, '-$') OR regexp_matches(token, '^[a-z]-[A-Z]')
          OR regexp_matches(token, '(?i)^x{{0,3}}(ix|iv|v?i{{0,3}})$') AS structural FROM w""",
@@ -92,7 +95,7 @@ def structural(spark, sf):
 
 @query(
     "wn11_sentence_start",
-    f"""WITH {DP}, t AS ({TOK}) SELECT job_id, page_number, CAST(count(*) FILTER (WHERE {_ATSTART}) AS BIGINT) AS starts,
+    f"""WITH {DP}, t AS MATERIALIZED ({TOK}) SELECT job_id, page_number, CAST(count(*) FILTER (WHERE at_start) AS BIGINT) AS starts,
         CAST(count(*) AS BIGINT) AS tokens FROM t GROUP BY 1, 2""",
 )
 def sentence_start(spark, sf):
@@ -115,25 +118,25 @@ NOUNS = """
     HAVING count(*) FILTER (WHERE regexp_matches(txt, '^[A-Z][a-zà-ÿ]+$')) >= 2 AND count(*) FILTER (WHERE regexp_matches(txt, '^[a-zà-ÿ]+$')) = 0)"""
 
 
-@query("jn11_proper_nouns", f"WITH {DP}, t AS ({TOK}), {NOUNS} SELECT job_id, word FROM nouns")
+@query("jn11_proper_nouns", f"WITH {DP}, t AS MATERIALIZED ({TOK}), {NOUNS} SELECT job_id, word FROM nouns")
 def proper_nouns(spark, sf):
     return D.proper_nouns(doc_pages(spark, sf))
 
 
 PROBES = """
-  nb AS (SELECT *, lead(txt) OVER w AS t2, lead(s) OVER w AS s2, lead(e) OVER w AS e2, lead(txt, 2) OVER w AS t3, lead(s, 2) OVER w AS s3
+  nb AS (SELECT *, lead(txt) OVER w AS t2, lead(s) OVER w AS s2, lead(e) OVER w AS e2, lead(g) OVER w AS g2, lead(txt, 2) OVER w AS t3, lead(s, 2) OVER w AS s3
          FROM t WINDOW w AS (PARTITION BY job_id, page_number ORDER BY s)),
-  pairs AS (SELECT *, length(txt) + length(t2) AS l2 FROM nb WHERE s2 = e + 1 AND substr(src, e + 1, 1) IN (' ', chr(9))
+  pairs AS (SELECT *, length(txt) + length(t2) AS l2 FROM nb WHERE s2 = e + 1 AND g IN (' ', chr(9))
             AND length(txt) + length(t2) BETWEEN 4 AND 16 AND (length(txt) <= 3 OR length(t2) <= 3)),
   probes AS (
     SELECT job_id, page_number, lower(txt || t2) AS joined, [s, s2] AS offs FROM pairs UNION ALL
     SELECT job_id, page_number, lower(txt || t2 || t3), [s, s2, s3] FROM pairs
-    WHERE s3 = e2 + 1 AND substr(src, e2 + 1, 1) IN (' ', chr(9)) AND l2 + length(t3) BETWEEN 5 AND 18 AND length(t2) = 1)"""
+    WHERE s3 = e2 + 1 AND g2 IN (' ', chr(9)) AND l2 + length(t3) BETWEEN 5 AND 18 AND length(t2) = 1)"""
 
 
 @query(
     "wn6_adjacent_tokens",
-    f"""WITH {DP}, t AS ({TOK}), {PROBES} SELECT job_id, page_number, joined, offs[1] AS "offset", CAST(len(offs) AS INTEGER) AS parts FROM probes""",
+    f"""WITH {DP}, t AS MATERIALIZED ({TOK}), {PROBES} SELECT job_id, page_number, joined, offs[1] AS "offset", CAST(len(offs) AS INTEGER) AS parts FROM probes""",
 )
 def adjacent_tokens(spark, sf):
     return D.fragment_probes(doc_pages(spark, sf)).select(
@@ -142,20 +145,30 @@ def adjacent_tokens(spark, sf):
 
 
 # Breadth-first stems: a node is a (stem, path of rule numbers); levels and paths give the order.
-_RULES_SQL = ", ".join(
-    [f"(FALSE, {i}, '{p}', '{r}')" for i, (p, r) in enumerate(PREFIX_RULES) if "(?=" not in p]
-    + [f"(FALSE, {100 + i}, '([a-z]){s}$', '\\1')" for i, s in enumerate(SUFFIXES)]
-)
+# Patterns are plain prefixes and suffixes here: (rule number, literal, next letter set, put back).
+_AZ = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _rules_sql() -> str:
+    out = []
+    for n, (pattern, put) in enumerate(PREFIX_RULES):
+        body, vowel = pattern[1:], "aeiou" in pattern
+        heads = ["me" + c for c in "mnlry"] if "[mnlry]" in body else [body.split("(")[0]]
+        out += [f"({n}, '{h}', '{'aeiou' if vowel else _AZ}', '{put.replace(chr(92) + '1', '')}', true)" for h in heads]
+    out += [f"({100 + i}, '{x}', '{_AZ}', '', false)" for i, x in enumerate(SUFFIXES)]
+    return ", ".join(out)
+
+
 STEMS = f"""
-  rules(x, n, p, r) AS (VALUES {_RULES_SQL}),
+  rules(n, lit, nxt, put, head) AS (VALUES {_rules_sql()}),
   bfs(word, stem, path, lvl) AS (
     SELECT word, word, CAST([] AS INTEGER[]), 0 FROM wl
     UNION ALL
-    SELECT word, nxt, list_append(path, n), lvl + 1 FROM (
-      SELECT word, path, lvl, n, stem, regexp_replace(stem, p, r) AS nxt FROM bfs, rules
-      UNION ALL
-      SELECT word, path, lvl, 0 AS n, stem, CASE WHEN regexp_matches(stem, '^meng[aeiou]') THEN substr(stem, 5) ELSE stem END FROM bfs)
-    WHERE nxt <> stem AND length(nxt) >= 2),
+    SELECT word, CASE WHEN head THEN put || substr(stem, length(lit) + 1) ELSE left(stem, length(stem) - length(lit)) END, list_append(path, n), lvl + 1
+    FROM bfs, rules
+    WHERE length(stem) > length(lit) AND length(stem) - length(lit) + length(put) >= 2
+      AND CASE WHEN head THEN starts_with(stem, lit) AND strpos(nxt, substr(stem, length(lit) + 1, 1)) > 0
+               ELSE ends_with(stem, lit) AND strpos(nxt, substr(stem, length(stem) - length(lit), 1)) > 0 END),
   stm AS (SELECT word, stem, row_number() OVER (PARTITION BY word ORDER BY lvl, path) AS pos FROM (
      SELECT *, row_number() OVER (PARTITION BY word, stem ORDER BY lvl, path) AS rn FROM bfs) WHERE rn = 1 AND lvl > 0)"""
 
@@ -179,7 +192,7 @@ def lookup_sql(words: str) -> str:
         AND length(word) >= 5 UNION ALL
     SELECT word, 3, word, 'd' FROM wl UNION ALL
     SELECT word, pos + 3, stem, 'vd' FROM stm),
-  hit AS (SELECT word, arg_min(CASE WHEN via <> 'd' AND v.classification IS NOT NULL THEN v.classification ELSE '-' END, rank) AS hit
+  hit AS (SELECT pb.word, arg_min(CASE WHEN via <> 'd' AND v.classification IS NOT NULL THEN v.classification ELSE '-' END, rank) AS hit
     FROM pb LEFT JOIN {{plant_vocab}} v ON v.word = probe LEFT JOIN {{plant_dict}} d ON d.word = probe
     WHERE (via <> 'd' AND v.word IS NOT NULL) OR (via <> 'v' AND d.word IS NOT NULL) GROUP BY 1),
   verdicts AS (SELECT wl.word,
@@ -220,12 +233,12 @@ def fresh_answers(spark, sf):
 
 # Links are the only skip ranges that documents may hold.
 _LINKS = W.URL_WIDE.replace("'", "''")
-CANDS = f"""{DP}, t AS ({TOK}), {NOUNS}, {PROBES},
+CANDS = f"""{DP}, t AS MATERIALIZED ({TOK}), {NOUNS}, {PROBES},
   links AS ({spans_sql("dp", "job_id, page_number", "text", W.URL_WIDE, "i")}),
   redup_raw AS (SELECT a.job_id, a.page_number, a.s, b.s AS sb FROM nb a JOIN nb b ON b.job_id = a.job_id AND b.page_number = a.page_number AND b.s = a.s2 AND lower(a.txt) = lower(b.txt)
-     AND length(a.txt) >= 2 AND regexp_matches(substr(a.src, a.e + 1, b.s - a.e), '^\\s*-\\s*$')),
+     AND length(a.txt) >= 2 AND regexp_matches(left(a.g6, b.s - a.e), '^\\s*-\\s*$')),
   pw AS (SELECT job_id, page_number, s, txt, lower(txt) AS word FROM t
-     WHERE length(txt) >= 2 AND NOT (regexp_matches(txt, '^[A-Z]{{2,}}$') OR (NOT {_ATSTART} AND regexp_matches(txt, '^[A-Z]'))
+     WHERE length(txt) >= 2 AND NOT (regexp_matches(txt, '^[A-Z]{{2,}}$') OR (NOT at_start AND regexp_matches(txt, '^[A-Z]'))
          OR regexp_matches(txt, '[a-z][A-Z]') OR regexp_matches(txt, '-$') OR regexp_matches(txt, '^[a-z]-[A-Z]')
          OR regexp_matches(txt, '(?i)^x{{0,3}}(ix|iv|v?i{{0,3}})$'))
        AND NOT EXISTS (SELECT 1 FROM links l WHERE l.job_id = t.job_id AND l.page_number = t.page_number AND t.s < l.e AND t.e > l.s)
