@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 NL = "chr(10)"
 SURNAMES = [
@@ -220,6 +221,53 @@ VIEWS: dict[str, str] = {
                CASE WHEN length(word) % 5 = 0 THEN TIMESTAMP '2024-01-31 23:44:59' ELSE TIMESTAMP '2024-01-31 23:45:00' END AS fetched_at
         FROM {plant_words} WHERE length(word) >= 3 GROUP BY word HAVING count(*) BETWEEN 6 AND 11
     """,
+    # Calls: outcome by event type, host and provider by user.
+    "call_log": """
+        SELECT event_id AS id, ts AS created_at,
+               CASE user_id % 5 WHEN 0 THEN 'crossref' WHEN 1 THEN 'openalex' WHEN 2 THEN 'unpaywall' WHEN 3 THEN 'arxiv' ELSE 'kbbi' END AS provider,
+               'h' || CAST(user_id % 7 AS VARCHAR(5)) || '.example.org' AS host,
+               'https://h' || CAST(user_id % 7 AS VARCHAR(5)) || '.example.org/' || CASE event_id % 3 WHEN 0 THEN 'A_b/' WHEN 1 THEN 'aXb/' ELSE '50%/' END || CAST(event_id AS VARCHAR(20)) AS url,
+               CASE event_type WHEN 'view' THEN 'success' WHEN 'click' THEN 'http_error' WHEN 'signup' THEN 'network_error' WHEN 'error' THEN 'timeout' ELSE 'aborted' END AS outcome,
+               CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN CASE event_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 404 ELSE 500 END END AS status,
+               CASE event_id % 3 WHEN 0 THEN '900' WHEN 1 THEN 'soon' END AS retry_after,
+               CAST(floor(value * 10) AS INT) AS duration_ms,
+               CASE WHEN event_id % 4 = 0 THEN 'T' || CAST(user_id AS VARCHAR(20)) END AS track_job_id,
+               CASE WHEN event_id % 4 = 1 THEN 'E' || CAST(user_id AS VARCHAR(20)) END AS eval_job_id
+        FROM {events}
+    """,
+    "plant_jobs": """
+        SELECT 'B' || CAST(event_id AS VARCHAR(20)) AS job_id,
+               CASE event_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'extracting' WHEN 2 THEN 'analyzing' WHEN 3 THEN 'done' ELSE 'failed' END AS status,
+               CASE WHEN event_id % 3 = 0 THEN ts END AS heartbeat_at, ts AS updated_at, ts - INTERVAL '45' MINUTE AS created_at,
+               CAST(event_id % 6 AS INT) AS attempts
+        FROM {events}
+    """,
+    "plant_orders": """
+        SELECT CAST(o_orderkey AS VARCHAR(20)) AS job_id, 'berkas_v' || CAST(o_orderkey % 9 AS VARCHAR(5)) || '.pdf' AS filename,
+               CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'extracting' ELSE 'failed' END AS status,
+               CASE o_orderkey % 4 WHEN 0 THEN 'review-passages' WHEN 1 THEN 'upload-sources' WHEN 2 THEN 'review-matches' ELSE 'upload' END AS phase,
+               o_orderdate AS created_at, o_orderdate + INTERVAL '40' DAY AS updated_at,
+               CASE WHEN o_orderkey % 10 <> 3 THEN CAST(o_orderkey % 120 AS INT) END AS total_pages
+        FROM {orders}
+    """,
+    "plant_sources": """
+        SELECT job_id, reference_id, reference_id * 10 AS source_id, 'f' || CAST(reference_id AS VARCHAR(20)) || '.pdf' AS filename,
+               CASE reference_id % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' WHEN 2 THEN 'downloading' WHEN 3 THEN 'extracting' ELSE 'done' END AS status,
+               o_orderdate AS updated_at
+        FROM {plant_refs} JOIN {orders} ON o_orderkey = reference_id WHERE reference_id % 5 <> 2
+    """,
+    "plant_attempts": """
+        SELECT l_orderkey AS reference_id, CAST(l_linenumber AS INT) AS rank, 'p' || CAST(l_linenumber AS VARCHAR(5)) AS provider,
+               'https://s.example.org/' || CAST(l_partkey % 3 AS VARCHAR(5)) AS url,
+               l_suppkey % 4 = 0 AS ok, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'HTTP ' || CAST(400 + l_suppkey % 4 AS VARCHAR(5)) END AS error
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) x
+    """,
+    "plant_listing": """
+        SELECT 'file:/up/' || CASE o_orderkey % 5 WHEN 0 THEN 'x' ELSE '' END || CAST(o_orderkey AS VARCHAR(20))
+               || CASE o_orderkey % 3 WHEN 0 THEN '_original' WHEN 1 THEN '_preview' ELSE '' END || CASE o_orderkey % 11 WHEN 0 THEN '.tmp' ELSE '.pdf' END AS path,
+               o_orderkey * 7 AS length, o_orderdate AS modified_at
+        FROM {orders}
+    """,
     "conversations_text": """
         SELECT conv_id * 1000 + turn AS doc_id, text FROM {conversations}
     """,
@@ -254,7 +302,16 @@ def _needs(sql: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, table_name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table_name}.parquet")
+    """A given table; its timestamps are UTC, so they are read as instants."""
+    path = f"{sf_dir}/{table_name}.parquet"
+    df = spark.read.parquet(path)
+    if any(isinstance(f.dataType, TimestampNTZType) for f in df.schema.fields):
+        fields = [
+            StructField(f.name, TimestampType() if isinstance(f.dataType, TimestampNTZType) else f.dataType)
+            for f in df.schema.fields
+        ]
+        df = spark.read.schema(StructType(fields)).parquet(path)
+    return df
 
 
 def spread(df: DataFrame) -> DataFrame:
