@@ -268,6 +268,34 @@ VIEWS: dict[str, str] = {
                o_orderkey * 7 AS length, o_orderdate AS modified_at
         FROM {orders}
     """,
+    # Findings of two revisions: events before and after the middle of the month.
+    "plant_findings": """
+        SELECT id, job_id, pair, side, category, severity, page_number, "offset", length, rule_id, token,
+               CASE WHEN category = 'kbbi' THEN 'Kata "' || coalesce(token, 'Sistim') || '" tidak ditemukan di basis data lokal.' ELSE 'Periksa penulisan.' END AS message,
+               CASE WHEN id % 4 = 1 THEN NULL WHEN id % 4 = 2 THEN ' ' ELSE 'usul' || CAST(k AS VARCHAR(5)) END AS suggestion,
+               CASE WHEN id % 19 = 0 THEN NULL ELSE 'di  dalam ' || coalesce(token, '(panjang)') || ' kalimat nomor ' || CAST(k AS VARCHAR(5)) END AS excerpt,
+               resolved_at, created_at
+        FROM (SELECT event_id AS id, 'E' || CAST(user_id % 50 AS VARCHAR(5)) AS job_id, 'P' || CAST(user_id % 4 AS VARCHAR(5)) AS pair,
+                     CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'before' ELSE 'after' END AS side,
+                     CASE WHEN event_type IN ('click', 'view') THEN 'kbbi' ELSE 'eyd' END AS category,
+                     CASE event_id % 5 WHEN 0 THEN 'error' WHEN 4 THEN 'info' ELSE 'warning' END AS severity,
+                     CAST(1 + event_id % 13 AS INT) AS page_number, CAST(event_id * 7 % 600 AS INT) AS "offset", 6 AS length,
+                     CASE WHEN event_id % 50 = 7 THEN NULL
+                          WHEN event_type IN ('click', 'view') THEN CASE event_id % 2 WHEN 0 THEN 'kbbi.unknown-word' ELSE 'kbbi.unknown-word.database-only' END
+                          ELSE CASE event_id % 4 WHEN 0 THEN 'eyd.foreign-not-italic' WHEN 1 THEN 'eyd.double-space' WHEN 2 THEN 'eyd.kemana-one-word' ELSE 'eyd.acronym-undeclared' END END AS rule_id,
+                     CASE user_id % 6 WHEN 0 THEN 'Sistim' WHEN 1 THEN 'resiko' WHEN 2 THEN ' ' WHEN 3 THEN NULL WHEN 4 THEN 'Praktek-an' ELSE 'héma(t)' END AS token,
+                     (event_id + CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 0 ELSE 3 END) % 40 AS k,
+                     CASE WHEN event_id % 6 = 0 THEN ts END AS resolved_at, ts AS created_at
+              FROM {events}) x
+    """.replace('"offset"', "`offset`"),
+    "plant_evals": """
+        SELECT 'E' || CAST(c_custkey AS VARCHAR(20)) AS job_id, 'skripsi_' || CAST(c_custkey AS VARCHAR(20)) || '.pdf' AS filename,
+               CASE c_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'extracting' WHEN 2 THEN 'analyzing' WHEN 3 THEN 'done' ELSE 'failed' END AS status,
+               CASE WHEN c_custkey % 9 <> 4 THEN CAST(c_custkey % 70 AS INT) END AS total_pages, CAST(c_custkey % 40 AS INT) AS extracted_pages,
+               CAST(c_custkey % 13 * 250 AS INT) AS kbbi_total, CAST(c_custkey % 31 * 120 AS INT) AS kbbi_progress,
+               CAST(c_custkey % 8 AS INT) AS eyd_total, CAST(c_custkey % 6 AS INT) AS eyd_progress
+        FROM {customer}
+    """,
     "conversations_text": """
         SELECT conv_id * 1000 + turn AS doc_id, text FROM {conversations}
     """,
@@ -343,7 +371,7 @@ def oracle(sql: str) -> str:
             for n in _needs(VIEWS[view_name]):
                 add(n)
             ctes[view_name] = re.sub(
-                r"@words\((\w+)\)@", r"unnest(regexp_extract_all(lower(\1), '[a-z]+'))", VIEWS[view_name]
+                r"@words\((\w+)\)@", r"unnest(regexp_extract_all(lower(\1), '[a-z]+'))", VIEWS[view_name].replace('`', '"')
             )
 
     for n in _needs(sql):
