@@ -235,3 +235,8 @@ def round_half_up(value: Column) -> Column:
 
 def round2(value: Column) -> Column:
     return F.floor(value * 100 + 0.5) / 100
+
+
+def mean2(value: Column) -> Column:
+    """Mean of 2-place values, 2 places. Sums whole hundredths, so row order cannot matter."""
+    return F.floor(F.avg(F.round(value * 100).cast("bigint")) + 0.5) / 100

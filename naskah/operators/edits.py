@@ -16,8 +16,6 @@ NOT_FOUND = "tidak ditemukan di dokumen"
 OVERLAP = "tumpang tindih dengan perbaikan lain"
 ITALIC_BY_HAND = "jadikan miring sendiri di dokumenmu"
 
-_EDIT = "array<struct<offset:int,finding_id:bigint,length:int,token:string,suggestion:string,is_italic:boolean>>"
-
 
 def set_resolved(findings: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
     """Findings with ``resolved_at`` set (or cleared with a null) for the given ids."""

@@ -270,13 +270,14 @@ def match_passages_semantic(
 def passage_summary(results: DataFrame, *by: str) -> DataFrame:
     """Counts per outcome and mean confidence of matches, 2 places, 0 without matches."""
     status = F.col("status")
-    mean = F.avg(F.when(status == "matched", F.col("confidence")))
     return results.groupBy(*by).agg(
         F.count("*").alias("total"),
         F.count_if(status == "matched").alias("matched"),
         F.count_if(status == "no-match").alias("no_match"),
         F.count_if(status == "no-source").alias("no_source"),
-        F.coalesce(T.round2(mean), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(
+            T.mean2(F.when(status == "matched", F.col("confidence"))), F.lit(0.0)
+        ).alias("avg_confidence"),
     )
 
 

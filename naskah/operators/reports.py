@@ -105,7 +105,7 @@ def trace_summary(traces: DataFrame, cites: DataFrame) -> DataFrame:
         F.count("*").alias("unique_citations"),
         F.count_if(status.isin("verified", "needs-review")).alias("matched"),
         F.count("source_page").alias("passages_found"),
-        F.coalesce(T.round2(F.avg("passage_confidence")), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(T.mean2(F.col("passage_confidence")), F.lit(0.0)).alias("avg_confidence"),
         *[F.count_if(status == s).alias(s.replace("-", "_")) for s in STATUS_ORDER],
     )
     return per.join(cites.groupBy("job_id").agg(F.count("*").alias("total_citations")), "job_id")

@@ -296,6 +296,34 @@ VIEWS: dict[str, str] = {
                CAST(c_custkey % 8 AS INT) AS eyd_total, CAST(c_custkey % 6 AS INT) AS eyd_progress
         FROM {customer}
     """,
+    # Stored results of track jobs: a citation per reference, every fourth key occurs twice.
+    "t_citations": """
+        SELECT job_id, reference_id * 2 AS citation_id, author || ', ' || year AS citation_key, CAST(1 + reference_id % 30 AS INT) AS thesis_page,
+               'Menurut "' || author || '", hal ' || title AS thesis_context FROM {plant_refs}
+        UNION ALL
+        SELECT job_id, reference_id * 2 + 1, author || ', ' || year, CAST(1 + reference_id % 23 AS INT), 'Lagi' || chr(10) || title FROM {plant_refs} WHERE reference_id % 4 = 1
+    """,
+    "t_matches": """
+        SELECT job_id, citation_key, CASE WHEN reference_id % 6 = 5 THEN NULL ELSE reference_id END AS reference_id,
+               CASE reference_id % 6 WHEN 5 THEN 'unmatched' WHEN 4 THEN 'fuzzy' ELSE 'exact' END AS match_type,
+               CASE reference_id % 6 WHEN 5 THEN 0.0E0 WHEN 4 THEN 0.85E0 ELSE 1.0E0 END AS confidence
+        FROM (SELECT job_id, author || ', ' || year AS citation_key, min(reference_id) AS reference_id FROM {plant_refs} GROUP BY job_id, author || ', ' || year) x
+        WHERE reference_id % 13 <> 12
+    """,
+    "t_passages": """
+        SELECT job_id, citation_id * 3 AS passage_id, citation_id, CAST(citation_id % 40 AS INT) AS source_page, 'Bagian ' || thesis_context AS matched_passage,
+               CAST(citation_id % 101 AS DOUBLE) / 100 AS confidence, CASE citation_id % 2 WHEN 0 THEN 'Shared entity overlap' ELSE 'High Levenshtein similarity' END AS reasoning
+        FROM {t_citations} WHERE citation_id % 3 <> 1
+    """,
+    # Text runs: a line item per run, placed one after the other with small gaps.
+    "plant_runs": """
+        SELECT job_id, page_number, place * 24 + CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS start, place * 24 + 18 + k % 6 AS `end`,
+               CASE k % 8 WHEN 0 THEN 'F-Italic' WHEN 1 THEN 'F-Mono' WHEN 2 THEN 'F-Other' ELSE 'F-Body' END AS font_name,
+               CASE k % 10 WHEN 0 THEN 14.0E0 WHEN 1 THEN 10.2E0 ELSE 10.0E0 END AS size, k % 8 = 1 AS is_mono, k % 8 = 0 OR k % 7 = 3 AS name_is_italic
+        FROM (SELECT 'L' || CAST(l_suppkey AS VARCHAR(20)) AS job_id, CAST(l_partkey % 50 AS INT) AS page_number, l_orderkey * 7 + l_linenumber + l_partkey AS k,
+                     row_number() OVER (PARTITION BY l_suppkey, l_partkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS place
+              FROM {lineitem}) x
+    """,
     "conversations_text": """
         SELECT conv_id * 1000 + turn AS doc_id, text FROM {conversations}
     """,

@@ -102,7 +102,7 @@ def match_passage(spark, sf):
         FROM {{passage_queries}} q LEFT JOIN best b ON b.query_id = q.query_id)
       SELECT source_id, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE status = 'matched') AS BIGINT) AS matched,
         CAST(count(*) FILTER (WHERE status = 'no-match') AS BIGINT) AS no_match, CAST(count(*) FILTER (WHERE status = 'no-source') AS BIGINT) AS no_source,
-        CAST(coalesce(floor(avg(confidence) FILTER (WHERE status = 'matched') * 100 + 0.5) / 100, 0) AS DOUBLE) AS avg_confidence FROM r GROUP BY 1""",
+        CAST(coalesce(floor(avg(CAST(round(confidence * 100) AS BIGINT)) FILTER (WHERE status = 'matched') + 0.5) / 100, 0) AS DOUBLE) AS avg_confidence FROM r GROUP BY 1""",
 )
 def passage_summary(spark, sf):
     status = (
