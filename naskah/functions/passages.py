@@ -88,9 +88,8 @@ def windows(
 
 def bm25_tokens(text: Column) -> Column:
     """Lower-case ASCII tokens of two or more characters without stopwords, repeats kept."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), T.WS + "+")
-    return F.filter(words, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(words, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -5,6 +5,7 @@ Offsets are 0-based code points; ranges are half-open ``struct<start:int,end:int
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -24,6 +25,11 @@ _BOUNDARY = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 def js(pattern: str, ignore_case: bool = False) -> str:
     r"""A pattern whose ``\b``, ``\s``, ``\S`` and ``$`` keep their JavaScript meaning in Java."""
+    # Next to a plain word character one look-around says the same as a boundary.
+    pattern = re.sub(
+        r"\\b(?=(?:\((?:\?:)?)*(?:[A-Za-z0-9]|\\[wd]|\[A-Z\]|\[A-Z\]\[a-z))", rf"(?<!{_W})", pattern
+    )
+    pattern = re.sub(r"(?<=[^\\][a-z])(\)?)\\b", rf"\1(?!{_W})", pattern)
     inside = {r"\s": _SPACES}
     outside = {r"\s": WS, r"\S": NOT_WS, r"\b": _BOUNDARY}
     out, in_class, i = [], False, 0
@@ -126,11 +132,23 @@ def spans(text: Column, pattern: str) -> Column:
     return let(
         found,
         lambda m: F.when(
-            F.size(m) > 0, let(F.split(text, pattern, -1), lambda q: place(m, q))
+            F.size(m) > 0, let(_gaps(text, pattern), lambda q: place(m, q))
         ).otherwise(empty),
     )
 
 
+_MARK = "\ue000"
+
+
+def _gaps(text: Column, pattern: str) -> Column:
+    """``split(text, pattern)``. Spark compiles a split pattern for every row but keeps a
+    replace pattern, so matches become a private-use mark first; a text that holds the
+    mark itself is split directly.
+    """
+    marked = F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, pattern, -1)).otherwise(marked)
+
+
 def span_ranges(text: Column, pattern: str) -> Column:
     """``spans`` without the text."""
     return F.transform(

@@ -52,8 +52,9 @@ def bm25_rank(docs: DataFrame, queries: DataFrame) -> DataFrame:
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
-    size = corpus_size(docs)
-    n_docs, avg_len = size.select("n_docs").scalar(), size.select("avg_len").scalar()
+    # One scalar subquery holds both numbers, so the corpus is measured once.
+    size = corpus_size(docs).select(F.struct("n_docs", "avg_len")).scalar()
+    n_docs, avg_len = size["n_docs"], size["avg_len"]
     tokens = docs.select("doc_id", bm25_tokens(F.col("text")).alias("tokens"))
     hits = (
         tokens.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))

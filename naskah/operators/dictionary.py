@@ -264,10 +264,10 @@ def first_occurrence(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return df.groupBy(*keys).agg(first).select(*keys, "f.*")
 
 
-def word_candidates(pages: DataFrame, fragments: DataFrame, nouns: DataFrame) -> DataFrame:
-    """First occurrence per page of each word to look up."""
+def word_candidates(words: DataFrame, fragments: DataFrame, nouns: DataFrame) -> DataFrame:
+    """First occurrence per page of each of the ``page_words`` to look up."""
     words = (
-        page_words(pages)
+        words
         .join(fragments, ["job_id", "page_number", "offset"], "left_anti")
         .join(nouns, ["job_id", "word"], "left_anti")
     )

@@ -72,50 +72,44 @@ def match_candidates(keys: DataFrame, refs: DataFrame) -> DataFrame:
     are folded first. Pairs come from shared name keys inside a job, never from all
     pairs of a job.
     """
-    cites = keys.select("job_id", "citation_key").distinct().select(
-        "job_id",
-        "citation_key",
-        cite_surname(F.col("citation_key")).alias("surname"),
-        cite_year(F.col("citation_key")).alias("cite_year"),
-        F.col("citation_key").rlike(T.js(r"et\s+al\.", True)).alias("et_al"),
-    )
-    people = (
-        refs.groupBy("job_id", "author", "year")
-        .agg(F.min(F.struct("reference_id", "title")).alias("ref"))
-        .select(
-            "job_id", "author", "ref",
-            F.col("year").try_cast("int").alias("ref_year"),
-            ref_surnames(F.col("author")).alias("surnames"),
-        )
-    )
+    key = F.col("citation_key")
     s = F.col("surname")
     start = lambda x: F.concat(F.lit("p:"), F.left(x, F.lit(2)))
-    cite_keys = cites.withColumn(
-        "name_key",
-        F.explode(
+    word = lambda x: F.concat(F.lit("w:"), x)
+    # Name forms and keys depend on the text alone: they are built once per distinct text.
+    cite_names = keys.select("citation_key").distinct().select(
+        "citation_key",
+        cite_surname(key).alias("surname"),
+        cite_year(key).alias("cite_year"),
+        key.rlike(T.js(r"et\s+al\.", True)).alias("et_al"),
+    ).withColumn(
+        "keys", F.concat(F.array(start(s), word(s)), S.piece_keys(s, max_distance))
+    )
+    names = all_names(F.col("surnames"))
+    ref_names = refs.select("author").distinct().select(
+        "author", ref_surnames(F.col("author")).alias("surnames")
+    ).withColumn(
+        "keys",
+        F.array_distinct(
             F.concat(
-                F.array(start(s), F.concat(F.lit("w:"), s)), S.piece_keys(s, max_distance)
+                F.transform("surnames", start),
+                F.transform(names, word),
+                F.flatten(
+                    F.transform(names, lambda n: S.probe_keys(n, max_distance, _reach))
+                ),
             )
         ),
     )
-    ref_keys = people.withColumn(
-        "name_key",
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    F.transform(F.col("surnames"), start),
-                    F.transform(
-                        all_names(F.col("surnames")), lambda n: F.concat(F.lit("w:"), n)
-                    ),
-                    F.flatten(
-                        F.transform(
-                            all_names(F.col("surnames")),
-                            lambda n: S.probe_keys(n, max_distance, _reach),
-                        )
-                    ),
-                )
-            )
-        ),
+    cite_keys = (
+        keys.select("job_id", "citation_key").distinct().join(cite_names, "citation_key")
+        .withColumn("name_key", F.explode("keys")).drop("keys")
+    )
+    ref_keys = (
+        refs.groupBy("job_id", "author", "year")
+        .agg(F.min(F.struct("reference_id", "title")).alias("ref"))
+        .select("job_id", "author", "ref", F.col("year").try_cast("int").alias("ref_year"))
+        .join(ref_names, "author")
+        .withColumn("name_key", F.explode("keys")).drop("keys")
     )
     gap = F.abs(F.col("ref_year") - F.col("cite_year"))
     pairs = (

@@ -252,14 +252,17 @@ CHECK = f"""{CANDS}, {lookup_sql(ALL_WORDS)},
 
 
 def word_check(spark, sf):
-    """Candidates and verdicts; the looked-up words are materialised, both sides read them."""
+    """Candidates and verdicts. Tables that feed several branches are written once."""
     from naskah.session import materialize
 
     pages = doc_pages(spark, sf)
-    probes = D.fragment_probes(pages)
-    words = D.page_words(pages).select("word").unionByName(probes.select(F.col("joined").alias("word")))
+    probes = materialize(D.fragment_probes(pages), "probes")
+    page_words = materialize(D.page_words(pages), "page-words")
+    words = page_words.select("word").unionByName(probes.select(F.col("joined").alias("word")))
     verdicts = materialize(D.lookup_words(words, **lexicons(spark, sf)), "verdicts")
-    candidates = D.word_candidates(pages, D.known_fragments(probes, verdicts), D.proper_nouns(pages))
+    candidates = D.word_candidates(
+        page_words, D.known_fragments(probes, verdicts), D.proper_nouns(pages)
+    )
     return candidates, verdicts
 
 
