@@ -138,5 +138,5 @@ def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     for r in np.flatnonzero((counts > 0) & (counts < size)):
         k = counts[r]
         part = w.hashes[w.first[r] : w.first[r] + k]
-        got[first[r]] = mix((part * LANES[8 + k : 8 + 2 * k]).sum(dtype=U64))
+        got[first[r]] = mix((part * LANES[8 + k : 8 + 2 * k]).sum(dtype=U64, keepdims=True))[0]
     return got, first
