@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from naskah.llm import bpe, decontamination, embedding, html_text, jaccard, quality, secrets, sharding
+from naskah.llm import bpe, decontamination, embedding, html_text, jaccard, lm, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of all documents, learnt from six of seven folds."""
+    return lm.score_held_out(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in any document."""
