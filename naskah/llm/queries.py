@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from naskah.llm import bpe, decontamination, embedding, html_text, jaccard, lm, quality, secrets, sharding
+from naskah.llm import bpe, decontamination, embedding, html_text, jaccard, lm, quality, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from all documents because a 400-byte string around them occurs again."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents."""
