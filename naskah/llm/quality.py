@@ -98,7 +98,7 @@ def _measure(df: DataFrame, model: Model, kept: list[str], text: str) -> DataFra
             )
 
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in kept)
-    return df.select(*kept, text).mapInArrow(run, f"{schema}, {_SIZES}")
+    return df.select(*kept, F.col(text).alias("_measured")).mapInArrow(run, f"{schema}, {_SIZES}")
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +167,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return sizes.withColumn("score", 1 / (1 + F.exp(-z)))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with all their columns. All labels are learnt from."""
+    model = train(docs, labels, key, text, label)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return score(rows, model, "row").where(F.col("score") >= THRESHOLD).select("row.*")
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, held_out: int = 5, key: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> DataFrame:
