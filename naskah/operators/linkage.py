@@ -53,73 +53,101 @@ def _reach(length: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(length * 0.43).cast("int"))
 
 
-def surname_distance(cited: Column, surnames: Column) -> Column:
-    """0 for equal, prefix or equal word; else the least edit distance; null without names."""
-    close = F.exists(
-        surnames,
-        lambda n: F.startswith(n, cited)
-        | F.startswith(cited, n)
-        | F.array_contains(_words(n), cited),
+def _prefixes(name: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.left(name, i))
+
+
+def _tagged(tag: str, names: Column) -> Column:
+    return F.transform(names, lambda n: F.concat(F.lit(tag), n))
+
+
+def close_names(cited: DataFrame, names: DataFrame) -> DataFrame:
+    """``surname, name, is_surname, distance`` of names within reach of a cited surname.
+
+    ``cited`` has distinct surnames, ``names`` distinct ``name, is_surname``. A surname is at
+    distance 0 when either is a prefix of the other, any name when equal; else the edit distance
+    counts. Both sides emit exact keys: the whole of one and every prefix of the other, and pieces
+    for edits. A pair that meets several times is compared once.
+    """
+    s, n = F.col("surname"), F.col("name")
+    left = cited.filter(F.length(s) > 0).select(
+        s,
+        F.explode(
+            F.array_distinct(
+                F.concat(
+                    _tagged("p:", F.array(s)), _tagged("q:", _prefixes(s)), _tagged("w:", F.array(s)),
+                    S.piece_keys(s, max_distance),
+                )
+            )
+        ).alias("name_key"),
+    )
+    prefix = F.when(F.col("is_surname"), F.concat(_tagged("p:", _prefixes(n)), _tagged("q:", F.array(n))))
+    right = names.filter(F.length(n) > 0).select(
+        n, "is_surname",
+        F.explode(
+            F.array_distinct(
+                F.concat(
+                    F.coalesce(prefix, F.array().cast("array<string>")), _tagged("w:", F.array(n)),
+                    S.probe_keys(n, max_distance, _reach),
+                )
+            )
+        ).alias("name_key"),
+    )
+    pairs = left.join(right, "name_key").select("surname", "name", "is_surname").distinct()
+    near = F.col("is_surname") & (F.startswith(n, s) | F.startswith(s, n))
+    return pairs.withColumn("distance", F.when(near, 0).otherwise(F.levenshtein(s, n))).filter(
+        F.col("distance") <= max_distance(F.length(s))
     )
-    edits = F.array_min(F.transform(all_names(surnames), lambda n: F.levenshtein(n, cited)))
-    return F.when(close, 0).otherwise(edits)
 
 
 def match_candidates(keys: DataFrame, refs: DataFrame) -> DataFrame:
     """Every (citation key, author, year) that passes the gates, with its confidence.
 
     References that share author and year score alike and the lowest id wins, so they
-    are folded first. Pairs come from shared name keys inside a job, never from all
-    pairs of a job.
+    are folded first. Names are compared once per distinct pair of the corpus; jobs meet
+    them by equi-joins. A key or reference without a year counts as year 0, one with a year
+    that is no number passes the year gate.
     """
     key = F.col("citation_key")
-    s = F.col("surname")
-    start = lambda x: F.concat(F.lit("p:"), F.left(x, F.lit(2)))
-    word = lambda x: F.concat(F.lit("w:"), x)
-    # Name forms and keys depend on the text alone: they are built once per distinct text.
-    cite_names = keys.select("citation_key").distinct().select(
-        "citation_key",
+    cites = keys.select("job_id", "citation_key").distinct().select(
+        "job_id", "citation_key",
         cite_surname(key).alias("surname"),
-        cite_year(key).alias("cite_year"),
+        F.coalesce(cite_year(key), F.lit(0)).alias("cite_year"),
         key.rlike(T.js(r"et\s+al\.", True)).alias("et_al"),
-    ).withColumn(
-        "keys", F.concat(F.array(start(s), word(s)), S.piece_keys(s, max_distance))
     )
-    names = all_names(F.col("surnames"))
-    ref_names = refs.select("author").distinct().select(
-        "author", ref_surnames(F.col("author")).alias("surnames")
-    ).withColumn(
-        "keys",
-        F.array_distinct(
-            F.concat(
-                F.transform("surnames", start),
-                F.transform(names, word),
-                F.flatten(
-                    F.transform(names, lambda n: S.probe_keys(n, max_distance, _reach))
-                ),
+    authors_of = refs.select("author").distinct().select("author", ref_surnames(F.col("author")).alias("surnames"))
+    words = F.flatten(F.transform("surnames", _words))
+    named = authors_of.select(
+        "author",
+        F.explode(
+            F.array_distinct(
+                F.concat(
+                    F.transform("surnames", lambda n: F.struct(n.alias("name"), F.lit(True).alias("is_surname"))),
+                    F.transform(words, lambda n: F.struct(n.alias("name"), F.lit(False).alias("is_surname"))),
+                )
             )
-        ),
-    )
-    cite_keys = (
-        keys.select("job_id", "citation_key").distinct().join(cite_names, "citation_key")
-        .withColumn("name_key", F.explode("keys")).drop("keys")
+        ).alias("n"),
+    ).select("author", "n.*")
+    close = (
+        close_names(cites.select("surname").distinct(), named.select("name", "is_surname").distinct())
+        .join(named, ["name", "is_surname"])
+        .groupBy("surname", "author").agg(F.min("distance").alias("distance"))
     )
-    ref_keys = (
+    year = F.col("year").cast("string")
+    entries = (
         refs.groupBy("job_id", "author", "year")
         .agg(F.min(F.struct("reference_id", "title")).alias("ref"))
-        .select("job_id", "author", "ref", F.col("year").try_cast("int").alias("ref_year"))
-        .join(ref_names, "author")
-        .withColumn("name_key", F.explode("keys")).drop("keys")
+        .select(
+            "job_id", "author", "ref",
+            F.when(F.coalesce(F.trim(year), F.lit("")) == "", 0).otherwise(year.try_cast("int")).alias("ref_year"),
+        )
+        .join(authors_of.select("author", F.size("surnames").alias("authors")), "author")
+        .join(close, "author")
     )
     gap = F.abs(F.col("ref_year") - F.col("cite_year"))
-    pairs = (
-        cite_keys.join(ref_keys, ["job_id", "name_key"])
-        .filter(F.col("ref_year").isNull() | F.col("cite_year").isNull() | (gap <= YEAR_WINDOW))
-        .withColumn("distance", surname_distance(s, F.col("surnames")))
-        .filter(F.col("distance") <= max_distance(F.length(s)))
-    )
-    # A reference without a year passes the year gate, costs nothing and is never exact.
-    authors = F.size("surnames")
+    pairs = cites.join(entries, ["job_id", "surname"]).filter(F.col("ref_year").isNull() | (gap <= YEAR_WINDOW))
+    # A year that is no number costs nothing and is never exact.
+    authors = F.col("authors")
     raw = (
         F.lit(1.0)
         - F.coalesce(gap, F.lit(0)) * YEAR_COST

@@ -21,9 +21,9 @@ def fold(x: str) -> str:
 MATCH = CITES + f""",
   ck AS (SELECT DISTINCT job_id, citation_key,
       {fold("regexp_split_to_array(trim(regexp_replace(citation_key, ',\\s*\\d{4}.*$', '')), '\\s*(?:&|et\\s+al\\.?|,)\\s*')[1]")} AS sn,
-      CAST(regexp_extract(citation_key, '\\d{{4}}') AS INT) AS cy,
+      coalesce(TRY_CAST(regexp_extract(citation_key, '\\d{{4}}') AS INT), 0) AS cy,
       regexp_matches(citation_key, '(?i)et\\s+al\\.') AS et FROM cites),
-  rf AS (SELECT *, TRY_CAST(year AS INT) AS ry,
+  rf AS (SELECT *, CASE WHEN coalesce(trim(year), '') = '' THEN 0 ELSE TRY_CAST(year AS INT) END AS ry,
       list_filter(list_transform(regexp_split_to_array(author, '\\s*(?:,\\s*&|&|\\band\\b|\\bdan\\b)\\s*'),
         lambda p: {fold("trim(split_part(p, ',', 1))")}), lambda n: length(n) > 1) AS names FROM {{plant_refs}}),
   pr AS (SELECT ck.*, rf.reference_id, rf.title, rf.ry, rf.names,
