@@ -30,7 +30,7 @@ def apply_fixes(pages: DataFrame, fixes: DataFrame) -> DataFrame:
 
     Fixes: ``job_id, page_number, finding_id, offset, length, token, suggestion, is_italic``.
     Adds ``new_content``, ``italic_ranges`` (moved by edits before them) and ``log`` of
-    ``finding_id, reason`` (null when applied). A page's own fixes are folded in its row.
+    ``finding_id, reason`` (null when applied). A page's own fixes are folded in its row; a page without fixes stays as it is.
     """
     per_page = fixes.groupBy("job_id", "page_number").agg(
         F.array_sort(
@@ -82,8 +82,8 @@ def apply_fixes(pages: DataFrame, fixes: DataFrame) -> DataFrame:
         F.array().cast("array<struct<finding_id:bigint,reason:string>>").alias("log"),
     )
     return (
-        pages.join(per_page, ["job_id", "page_number"])
-        .withColumn("r", F.aggregate("edits", start, step))
+        pages.join(per_page, ["job_id", "page_number"], "left")
+        .withColumn("r", F.when(F.col("edits").isNull(), start).otherwise(F.aggregate("edits", start, step)))
         .select(
             "job_id", "page_number", "content",
             F.col("r.text").alias("new_content"),
@@ -94,12 +94,12 @@ def apply_fixes(pages: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 def change_log(fixes: DataFrame, applied_pages: DataFrame) -> DataFrame:
-    """One row per fix: applied or not, with before, after and reason."""
+    """One row per fix: applied or not, with before, after and reason. A fix of an absent page is not applied."""
     log = applied_pages.select("job_id", "page_number", F.explode("log").alias("l")).select(
-        "job_id", "page_number", "l.*"
+        "job_id", "page_number", "l.*", F.lit(True).alias("seen")
     )
     rows = fixes.join(log, ["job_id", "page_number", "finding_id"], "left")
-    reason = F.when(F.col("page_number").isNull(), NO_PAGE).otherwise(F.col("reason"))
+    reason = F.when(F.col("page_number").isNull() | F.col("seen").isNull(), NO_PAGE).otherwise(F.col("reason"))
     return rows.select(
         "job_id", "page_number", "finding_id", "category", "rule_id",
         F.when(F.col("is_italic"), "italic").otherwise("replace").alias("kind"),

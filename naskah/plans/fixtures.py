@@ -347,7 +347,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-# Views that feed per-character work; see ``view``.
+# Views that feed per-character work.
 TEXT_VIEWS = {"plant_pages", "plant_text"}
 
 
@@ -367,13 +367,16 @@ def table(spark: SparkSession, sf_dir: str, table_name: str) -> DataFrame:
             for f in df.schema.fields
         ]
         df = spark.read.schema(StructType(fields)).parquet(path)
-    return df
+    return spread(df) if table_name == "documents" else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split a scan that has fewer input splits than cores; larger scans are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal out text rows over ``spark.naskah.scan.partitions`` tasks, if a launcher set it.
+
+    For files with fewer row groups than cores; unset (the default) leaves scans as they are.
+    """
+    n = df.sparkSession.conf.get("spark.naskah.scan.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def view(spark: SparkSession, sf_dir: str, view_name: str) -> DataFrame:
@@ -382,12 +385,7 @@ def view(spark: SparkSession, sf_dir: str, view_name: str) -> DataFrame:
         return table(spark, sf_dir, view_name)
     sql = re.sub(r"@words\((\w+)\)@", r"explode(regexp_extract_all(lower(\1), '[a-z]+', 0))", VIEWS[view_name])
     df = spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _needs(sql)})
-    if view_name in TEXT_VIEWS:
-        # A small input would run in one task after the shuffle; a large one has enough.
-        cores = spark.sparkContext.defaultParallelism
-        if table(spark, sf_dir, "orders").rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    return spread(df) if view_name in TEXT_VIEWS else df
 
 
 def oracle(sql: str) -> str:

@@ -9,7 +9,7 @@ from naskah.functions import text as T
 from naskah.functions import words as W
 from naskah.operators import dictionary as D
 from naskah.operators import pages as PG
-from naskah.plans.fixtures import spread, table, view
+from naskah.plans.fixtures import table, view
 from naskah.plans.q_rules import ranges_sql
 from naskah.plans.registry import query, spans_sql
 
@@ -26,7 +26,7 @@ DP = "dp AS (SELECT source AS job_id, doc_id AS page_number, text FROM {document
 
 
 def doc_pages(spark, sf):
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         F.col("source").alias("job_id"), F.col("doc_id").alias("page_number"),
         F.col("text").alias("content"),
         T.no_ranges().alias("code_ranges"), T.no_ranges().alias("italic_ranges"),

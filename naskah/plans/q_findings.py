@@ -59,8 +59,8 @@ def classify_fixes(spark, sf):
 
 @query(
     "ag16_group_findings",
-    """SELECT rule_id, severity, message, suggestion, CAST(count(*) AS BIGINT) AS n, CAST(count(resolved_at) AS BIGINT) AS resolved,
-       min(page_number) AS first_page, max(page_number) AS last_page, CAST(count(DISTINCT page_number) AS BIGINT) AS pages FROM {plant_findings} GROUP BY 1, 2, 3, 4""",
+    """SELECT job_id, rule_id, severity, message, suggestion, CAST(count(*) AS BIGINT) AS n, CAST(count(resolved_at) AS BIGINT) AS resolved,
+       min(page_number) AS first_page, max(page_number) AS last_page, CAST(count(DISTINCT page_number) AS BIGINT) AS pages FROM {plant_findings} GROUP BY 1, 2, 3, 4, 5""",
 )
 def group_findings(spark, sf):
     return FD.group_findings(found(spark, sf))
@@ -125,10 +125,10 @@ def rule_deltas(spark, sf):
 @query(
     "tk3_top_rule_changes",
     f"""WITH {DELTAS} SELECT pair, change, rule_id, delta, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pair, change ORDER BY abs(delta) DESC, rule_id) AS rn
-        FROM (SELECT *, CASE WHEN delta < 0 THEN 'reduction' ELSE 'regression' END AS change FROM deltas WHERE delta <> 0)) WHERE rn <= 2""",
+        FROM (SELECT *, CASE WHEN delta < 0 THEN 'reduction' ELSE 'regression' END AS change FROM deltas WHERE delta <> 0)) WHERE rn <= 5""",
 )
 def top_rule_changes(spark, sf):
-    return CP.top_rule_changes(rule_deltas(spark, sf), 2).select("pair", "change", "rule_id", "delta", "rank")
+    return CP.top_rule_changes(rule_deltas(spark, sf), 5).select("pair", "change", "rule_id", "delta", "rank")
 
 
 @query(

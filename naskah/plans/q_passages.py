@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from naskah.functions import vectors as V
 from naskah.operators import passages as P
-from naskah.plans.fixtures import spread, table, view
+from naskah.plans.fixtures import table, view
 from naskah.plans.q_text import SENTENCES, TOKENS, anchors_sql, keywords_sql
 from naskah.plans.registry import query
 
@@ -17,7 +17,7 @@ def _queries(spark, sf):
 
 
 def _pages(spark, sf):
-    return spread(table(spark, sf, "documents")).select(
+    return table(spark, sf, "documents").select(
         F.col("source").alias("source_id"), F.col("doc_id").alias("page_number"), F.col("text").alias("content")
     )
 
@@ -41,9 +41,9 @@ def candidate_pages(spark, sf):
     )
 
 
-@query("tk2_top_pages", f"WITH {CAND} SELECT query_id, CAST(page_rank AS INTEGER) AS page_rank, page_number FROM cand WHERE page_rank <= 3")
+@query("tk2_top_pages", f"WITH {CAND} SELECT query_id, CAST(page_rank AS INTEGER) AS page_rank, page_number FROM cand WHERE page_rank <= 10")
 def top_pages(spark, sf):
-    return P.candidate_pages(_queries(spark, sf), _pages(spark, sf), 3).select(
+    return P.candidate_pages(_queries(spark, sf), _pages(spark, sf), 10).select(
         "query_id", "page_rank", "page_number"
     )
 
@@ -162,24 +162,11 @@ def match_passage_semantic(spark, sf):
 
 @query(
     "wn8_similarity_margin",
-    """WITH s AS (SELECT q.vec_id AS query_id, w.vec_id AS w,
-         list_sum(list_transform(range(1, 65), lambda k: q.embedding[k]::DOUBLE * w.embedding[k]::DOUBLE)) AS cosine
-       FROM {embeddings} q JOIN {embeddings} w ON w.label = q.label AND w.vec_id > q.vec_id AND w.vec_id <= q.vec_id + 60),
-      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC) AS rn FROM s)
-    SELECT query_id, round(greatest(max(cosine), 0), 6) AS top, round(greatest(coalesce(max(cosine) FILTER (WHERE rn = 2), 0), 0), 6) AS runner_up,
-       round(greatest(max(cosine), 0) - greatest(coalesce(max(cosine) FILTER (WHERE rn = 2), 0), 0), 6) AS margin
-    FROM r WHERE rn <= 2 GROUP BY 1""",
+    f"""WITH {SEM} SELECT query_id, round(top, 6) AS top, round(runner, 6) AS runner_up, round(top - runner, 6) AS margin FROM mg""",
 )
 def similarity_margin(spark, sf):
-    emb = table(spark, sf, "embeddings")
-    step = F.explode(F.sequence(F.lit(1), F.lit(60)))
-    left = emb.select("vec_id", "label", F.col("embedding").alias("q"), step.alias("d")).select(
-        F.col("vec_id").alias("query_id"), "label", "q", (F.col("vec_id") + F.col("d")).alias("vec_id")
-    )
-    scores = left.join(emb, ["vec_id", "label"]).select(
-        "query_id", V.dot(F.col("q"), F.col("embedding")).alias("cosine")
-    )
-    m = P.similarity_margin(scores, ["query_id"])
+    """Over all windows of each query's candidate pages."""
+    m = P.similarity_margin(_semantic_scores(spark, sf), ["query_id"])
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("top", "runner_up", "margin")])
 
 

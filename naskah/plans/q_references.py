@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from naskah.functions import references as R
 from naskah.functions import text as T
 from naskah.operators import references as ops
-from naskah.plans.fixtures import spread, table, view
+from naskah.plans.fixtures import table, view
 from naskah.plans.registry import query
 
 _HEAD = "(?i)" + R.HEADING
@@ -40,7 +40,7 @@ _LINES = """
     FROM lines l LEFT JOIN gone g USING (job_id, line) GROUP BY 1, 2""",
 )
 def strip_repeating_lines(spark, sf):
-    pages = spread(table(spark, sf, "documents")).select(
+    pages = table(spark, sf, "documents").select(
         F.col("source").alias("job_id"), F.col("doc_id").alias("page_number"), F.col("text").alias("content")
     )
     return ops.strip_repeating_lines(pages).select(

@@ -242,7 +242,8 @@ def insert_missing(spark, sf):
 
 @query(
     "sc7_replace_partition",
-    """SELECT o_custkey % 16 AS job_bucket, o_orderkey, CASE WHEN o_custkey % 16 < 4 THEN 'second' ELSE 'first' END AS written FROM {orders}""",
+    """SELECT o_custkey % 16 AS job_bucket, o_orderkey, CASE WHEN o_custkey % 16 < 4 THEN 'second' ELSE 'first' END AS written FROM {orders}
+       WHERE o_custkey % 16 <> 7""",
 )
 def replace_partition(spark, sf):
     from naskah.session import scratch_dir
@@ -251,8 +252,10 @@ def replace_partition(spark, sf):
     rows = table(spark, sf, "orders").select((F.col("o_custkey") % 16).alias("job_bucket"), "o_orderkey")
     TB.replace_partition(rows.withColumn("written", F.lit("first")), path)
     again = rows.filter("job_bucket < 4").withColumn("written", F.lit("second"))
-    TB.replace_partition(again, path)
-    TB.replace_partition(again, path)
+    # Bucket 7 is replaced as well, by nothing.
+    replaced = rows.filter("job_bucket < 4 OR job_bucket = 7").select("job_bucket")
+    TB.replace_partition(again, path, replaced=replaced)
+    TB.replace_partition(again, path, replaced=replaced)
     return spark.read.schema("o_orderkey bigint, written string, job_bucket bigint").parquet(path)
 
 
@@ -311,11 +314,16 @@ def reanchor(spark, sf):
     return E.reanchor(f, texts)
 
 
+# The whole excerpt is there, or all of it but the first word, or only its longest words, or nothing.
 @query(
     "tx30_locate_excerpt",
     """WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM {documents}),
-       q AS (SELECT doc_id, t, CASE doc_id % 3 WHEN 0 THEN substr(t, 30, 60) WHEN 1 THEN 'zzqx ' || trim(substr(t, 40, 50)) ELSE 'zzqx zzqy 12' END AS q FROM d)
-       SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 AND trim(q) <> '' THEN strpos(t, trim(q)) - 1 END AS INTEGER) AS start FROM q WHERE doc_id % 3 <> 1 AND (trim(q) <> '')""",
+       q AS (SELECT doc_id, t, CASE doc_id % 3 WHEN 0 THEN trim(substr(t, 30, 60)) WHEN 1 THEN trim('zzqx ' || trim(substr(t, 40, 50))) ELSE 'zzqx zzqy 12' END AS q,
+         CASE WHEN doc_id % 3 = 1 THEN trim(substr(t, 40, 50)) END AS rest FROM d),
+       w AS (SELECT *, list_filter(regexp_split_to_array(q, '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3 AND strpos(t, x) > 0) AS words FROM q),
+       l AS (SELECT *, list_filter(words, lambda x: length(x) = list_max(list_transform(words, lambda y: length(y))))[1] AS longest FROM w)
+       SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN strpos(t, q) - 1 WHEN doc_id % 3 = 2 THEN NULL WHEN length(rest) >= 8 THEN strpos(t, rest) - 1
+         WHEN longest IS NOT NULL THEN strpos(t, longest) - 1 END AS INTEGER) AS start FROM l WHERE q <> ''""",
 )
 def locate_excerpt(spark, sf):
     from naskah.functions.passages import normalize
@@ -324,9 +332,9 @@ def locate_excerpt(spark, sf):
     q = F.when(F.col("doc_id") % 3 == 0, F.substring(t, 30, 60)).when(
         F.col("doc_id") % 3 == 1, F.concat(F.lit("zzqx "), F.trim(F.substring(t, 40, 50)))
     ).otherwise("zzqx zzqy 12")
-    return table(spark, sf, "documents").withColumn("q", q).filter(
-        "doc_id % 3 <> 1 AND trim(q) <> ''"
-    ).select("doc_id", E.locate_excerpt(F.col("text"), F.col("q"))["start"].alias("start"))
+    return table(spark, sf, "documents").withColumn("q", q).filter("trim(q) <> ''").select(
+        "doc_id", E.locate_excerpt(F.col("text"), F.col("q"))["start"].alias("start")
+    )
 
 
 _RUNS = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from naskah.constants import LOCATIVES, PASSIVE_VERBS, PUN_FIXED
 from naskah.functions import text as T
 from naskah.operators import rules as R
-from naskah.plans.fixtures import spread, table, view
+from naskah.plans.fixtures import table, view
 from naskah.plans.registry import query, spans_sql
 
 PAGES = "{plant_pages}"
@@ -164,7 +164,7 @@ def registered_rule(spark, sf):
             lambda m: F.concat(F.lit("Huruf besar: "), m), lambda m: F.lower(m),
         )
     )
-    docs = spread(table(spark, sf, "documents")).select(
+    docs = table(spark, sf, "documents").select(
         F.col("source").alias("job_id"), F.col("doc_id").alias("page_number"), F.col("text").alias("content")
     )
     return R.scan_rules(docs, registry.select("custom.shouting")).select(
@@ -181,7 +181,7 @@ def registered_rule(spark, sf):
         FROM ({spans_sql("{documents}", "doc_id", "text", "[A-Za-zÀ-ÿ]{2,}[,.;:!?][A-Za-zÀ-ÿ]{2,}")}))""",
 )
 def dedupe(spark, sf):
-    docs = spread(table(spark, sf, "documents")).select(
+    docs = table(spark, sf, "documents").select(
         F.col("source").alias("job_id"), F.col("doc_id").alias("page_number"), F.col("text").alias("content")
     )
     rules = R.RuleRegistry().select("eyd.repeated-punct", "eyd.missing-space-after-punct")
@@ -199,7 +199,7 @@ def dedupe(spark, sf):
 )
 def regex_spans(spark, sf):
     return (
-        spread(table(spark, sf, "documents"))
+        table(spark, sf, "documents")
         .select("doc_id", F.explode(T.spans(F.col("text"), r"([,;:!?])\1+")).alias("m"))
         .select("doc_id", "m.start", "m.end", F.col("m.text").alias("token"))
     )
@@ -213,7 +213,7 @@ def regex_spans(spark, sf):
 )
 def excerpts(spark, sf):
     return (
-        spread(table(spark, sf, "documents"))
+        table(spark, sf, "documents")
         .select("doc_id", "text", F.explode(T.spans(F.col("text"), r"([,;:!?])\1+")).alias("m"))
         .select(
             "doc_id", "m.start",

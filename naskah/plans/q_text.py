@@ -8,7 +8,7 @@ from naskah.constants import ABBREVIATIONS, STOPWORDS
 from naskah.functions import passages as P
 from naskah.functions import text as T
 from naskah.operators import bm25 as BM
-from naskah.plans.fixtures import spread, table, view
+from naskah.plans.fixtures import table, view
 from naskah.plans.registry import query, spans_sql
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -26,7 +26,7 @@ SENTENCES = f"""list_filter(list_transform(string_split(
 
 
 def docs(spark, sf):
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 @query(
@@ -70,7 +70,7 @@ def page_density(spark, sf):
 def tokens(spark, sf):
     from naskah.operators.words import tokens as op
 
-    pages = spread(view(spark, sf, "conversations_text")).select(
+    pages = view(spark, sf, "conversations_text").select(
         F.lit("x").alias("job_id"), F.col("doc_id").alias("page_number"), F.col("text").alias("content")
     )
     return op(pages).select(F.col("page_number").alias("doc_id"), "offset", "end", "token")

@@ -26,6 +26,18 @@ def insert_missing(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFr
     return base.unionByName(new.select(*base.columns))
 
 
-def replace_partition(df: DataFrame, path: str, by: str = "job_bucket") -> None:
-    """Overwrites only the partitions that ``df`` holds; running it twice changes nothing."""
+def replace_partition(df: DataFrame, path: str, by: str = "job_bucket", replaced: DataFrame | None = None) -> None:
+    """Overwrites only the partitions that ``df`` holds; running it twice changes nothing.
+
+    ``replaced`` names (in column ``by``) partitions that are replaced even if ``df`` has no row
+    for them: those are removed.
+    """
     df.write.mode("overwrite").partitionBy(by).option("partitionOverwriteMode", "dynamic").parquet(path)
+    if replaced is None:
+        return
+    gone = replaced.select(by).distinct().join(df.select(by).distinct(), by, "left_anti")
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for row in gone.toLocalIterator():
+        files.delete(jvm.org.apache.hadoop.fs.Path(folder, f"{by}={row[0]}"), True)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from naskah.constants import ERROR_PREVIEW, STALE_SECONDS, SUCCESS_PREVIEW
 from naskah.operators.calls import outcome_of
-from naskah.sources.tables import replace_partition
 
 _HEADERS = ["content-type", "content-length", "retry-after"]
 
@@ -86,29 +86,70 @@ def heartbeat_alarms(beats: DataFrame, late: str = "0 seconds") -> DataFrame:
     )
 
 
+def _append_batch(df: DataFrame, path: str, number: int, bucket: Column) -> None:
+    """Adds a batch as partitions of its own; a replay overwrites them."""
+    rows = df.withColumn("job_bucket", bucket).withColumn("batch", F.lit(number))
+    rows.write.mode("overwrite").partitionBy("job_bucket", "batch").option(
+        "partitionOverwriteMode", "dynamic"
+    ).parquet(path)
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+
+
+def current_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The newest arrival of every page of ``evaluate_arrivals``."""
+    pages = spark.read.parquet(f"{path}/pages")
+    rest = [c for c in pages.columns if c not in ("job_bucket", "batch", "job_id", "page_number")]
+    return (
+        pages.groupBy("job_bucket", "job_id", "page_number")
+        .agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("job_bucket", "job_id", "page_number", "r.*")
+    )
+
+
+def current_findings(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Findings of the newest evaluation of every job; a job that became clean has none."""
+    if not _has_files(spark, f"{path}/findings"):
+        return spark.createDataFrame([], schema)
+    latest = spark.read.parquet(f"{path}/evaluated").groupBy("job_bucket", "job_id").agg(F.max("batch").alias("batch"))
+    found = spark.read.schema(
+        StructType([*schema.fields, StructField("job_bucket", IntegerType()), StructField("batch", LongType())])
+    ).parquet(f"{path}/findings")
+    return found.join(latest, ["job_bucket", "job_id", "batch"], "left_semi").select(*schema.names)
+
+
 def evaluate_arrivals(pages: DataFrame, evaluate, path: str, checkpoint: str, buckets: int = 64) -> None:
-    """Evaluates arriving documents and replaces their findings; replays change nothing.
+    """Evaluates all stored pages of the jobs that an arriving batch touches.
 
-    ``pages`` is a stream of whole documents per batch. A batch rewrites the job buckets it
-    touches: findings of other jobs in them are kept.
+    ``pages`` has ``job_id, page_number`` and whatever ``evaluate`` needs. A batch only adds: its
+    pages, the findings of its jobs, and the fact that these were evaluated, as partitions named by
+    job bucket and batch. Nothing is rewritten; readers take the newest (``current_findings``).
+    Replays overwrite their own partitions. Batch numbers of a later stream with another
+    checkpoint follow those already stored.
     """
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
-        new = evaluate(batch).withColumn("job_bucket", bucket)
+    spark = pages.sparkSession
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+    mark = f"{path}/evaluated"
+    # A checkpoint that has begun keeps its offset; a new one continues after the stored batches.
+    offset_file = f"{checkpoint}-offset"
+    if _has_files(spark, offset_file):
+        first = spark.read.parquet(offset_file).first()["first"]
+    else:
+        last = spark.read.parquet(mark).agg(F.max("batch")).first()[0] if _has_files(spark, mark) else None
+        first = 0 if last is None else int(last) + 1
+        spark.createDataFrame([(first,)], "first long").write.parquet(offset_file)
+
+    def write(batch: DataFrame, number: int) -> None:
+        number += first
+        session = batch.sparkSession
+        _append_batch(batch, f"{path}/pages", number, bucket)
         jobs = batch.select("job_id").distinct()
-        try:
-            old = spark.read.parquet(path)
-        except Exception:  # first batch: no table yet
-            replace_partition(new, path)
-            return
-        touched = jobs.select(bucket.alias("job_bucket")).distinct()
-        kept = old.join(touched, "job_bucket", "left_semi").join(jobs, "job_id", "left_anti")
-        # The kept rows are read from the table being replaced, so they are written aside first.
-        aside = f"{checkpoint}/aside"
-        kept.select(*new.columns).unionByName(new).write.mode("overwrite").parquet(aside)
-        replace_partition(spark.read.schema(new.schema).parquet(aside), path)
+        touched = jobs.select(bucket.alias("job_bucket"), "job_id")
+        stored = current_pages(session, path).join(touched, ["job_bucket", "job_id"], "left_semi").drop("job_bucket")
+        _append_batch(evaluate(stored), f"{path}/findings", number, bucket)
+        _append_batch(jobs, mark, number, bucket)
 
     query = (
         pages.writeStream.foreachBatch(write)

@@ -216,3 +216,112 @@ def test_excluded_pages(spark):
     from naskah.operators.findings import parse_excluded_pages
 
     assert sorted(one(spark, "5-3, 7, 0, x, 7", parse_excluded_pages)) == [3, 4, 5, 7]
+
+
+def test_pages_without_fixes_stay(spark):
+    pages = spark.createDataFrame([("j", 1, "aa"), ("j", 2, "bb")], "job_id string, page_number int, content string")
+    fixes = spark.createDataFrame(
+        [("j", 1, 1, 0, 2, "aa", "A", False, "eyd", "r"), ("j", 9, 2, 0, 2, "xx", "y", False, "eyd", "r"),
+         ("j", None, 3, 0, 2, "xx", "y", False, "eyd", "r")],
+        "job_id string, page_number int, finding_id long, offset int, length int, token string, suggestion string, "
+        "is_italic boolean, category string, rule_id string",
+    )
+    done = E.apply_fixes(pages, fixes)
+    assert {r.page_number: (r.new_content, len(r.log)) for r in done.collect()} == {1: ("A", 1), 2: ("bb", 0)}
+    log = {r.finding_id: (r.applied, r.reason) for r in E.change_log(fixes, done).collect()}
+    assert log == {1: (True, None), 2: (False, E.NO_PAGE), 3: (False, E.NO_PAGE)}
+
+
+def test_linkage_years_and_prefixes(spark):
+    keys = spark.createDataFrame(
+        [("j", k) for k in ("Smith", "Smith, 2020", "X, 2020", "Xavierson, 2020", "Lee, n.d.", "Kim, 1999")], "job_id string, citation_key string"
+    )
+    refs = spark.createDataFrame(
+        [("j", 1, "Smith, J.", "2020", "t"), ("j", 2, "Xavier, P.", "2021", "t"), ("j", 3, "Kim, A.", "n.d.", "t"), ("j", 4, "Lee, A.", "", "t")],
+        "job_id string, reference_id int, author string, year string, title string",
+    )
+    got = {r.citation_key: (r.reference_id, r.match_type) for r in L.match_citations(keys, refs).collect()}
+    assert got["Smith"] == (None, "unmatched")  # a missing year is year 0
+    assert got["Smith, 2020"] == (1, "exact")
+    assert got["X, 2020"] == (2, "fuzzy") and got["Xavierson, 2020"] == (2, "fuzzy")
+    assert got["Lee, n.d."] == (4, "exact")  # both without a year
+    assert got["Kim, 1999"] == (3, "fuzzy")  # no number passes
+
+
+def test_close_names_against_all_pairs(spark):
+    r = random.Random(8)
+    names = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(150)})
+    cited = spark.createDataFrame([(n,) for n in names[::2]], "surname string")
+    known = [(n, i % 3 > 0) for i, n in enumerate(names)]
+    got = {
+        (x.surname, x.name, x.is_surname): x.distance
+        for x in L.close_names(cited, spark.createDataFrame(known, "name string, is_surname boolean")).collect()
+    }
+    want = {}
+    for s in names[::2]:
+        for n, full in known:
+            d = 0 if full and (n.startswith(s) or s.startswith(n)) else levenshtein(s, n)
+            if d <= max(1, int(len(s) * 0.3)):
+                want[s, n, full] = d
+    assert got == want
+
+
+def test_replaced_partitions_vanish(spark, tmp_path):
+    from naskah.sources.tables import replace_partition
+
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, 0), (2, 1)], "v int, job_bucket int")
+    replace_partition(rows, path)
+    for _ in range(2):
+        replace_partition(rows.where("v = 1"), path, replaced=rows.select("job_bucket"))
+    assert [r.v for r in spark.read.parquet(path).collect()] == [1]
+
+
+def test_arrivals_over_several_batches(spark, tmp_path):
+    import pytest
+
+    from naskah.streaming import streams as ST
+
+    schema = "job_id string, page_number int, content string"
+    folder, path = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def evaluate(pages):
+        return pages.where(F.col("content").contains("bad")).select("job_id", "page_number")
+
+    def state(checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        ST.evaluate_arrivals(stream, evaluate, path, str(tmp_path / checkpoint), 4)
+        found = ST.current_findings(spark, path, evaluate(spark.createDataFrame([], schema)).schema)
+        return sorted((r.job_id, r.page_number) for r in found.collect())
+
+    arrive(("a", 1, "bad"), ("b", 1, "bad"))
+    assert state("c1") == [("a", 1), ("b", 1)]
+    arrive(("a", 2, "bad"))  # a job split over two batches
+    assert state("c1") == [("a", 1), ("a", 2), ("b", 1)]
+    arrive(("b", 1, "good"))  # a job that became clean
+    assert state("c1") == [("a", 1), ("a", 2)]
+    assert state("c2") == [("a", 1), ("a", 2)]  # all of it once more
+    (tmp_path / "out" / "evaluated").rename(tmp_path / "out" / "gone")
+    with pytest.raises(Exception):  # an unreadable table is no empty one
+        ST.current_findings(spark, path, evaluate(spark.createDataFrame([], schema)).schema)
+
+
+def test_udf_code_reaches_executors(tmp_path):
+    """Started from another folder, without PYTHONPATH."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util as u; from pyspark.sql import SparkSession; "
+        f"s = u.spec_from_file_location('entry_file', {repo!r} + '/__spark_entry__.py'); m = u.module_from_spec(s); s.loader.exec_module(m); "
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); "
+        "print('ROWS', len(m.queries()['ud1_embedder_slot'](spark, '/root/testdata/sf0.001').limit(3).collect()))"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 3" in done.stdout, done.stderr[-2000:]
