@@ -173,7 +173,11 @@ STEMS = f"""
      SELECT *, row_number() OVER (PARTITION BY word, stem ORDER BY lvl, path) AS rn FROM bfs) WHERE rn = 1 AND lvl > 0)"""
 
 
-@query("tx25_affix_stems")
+@query(
+    "tx25_affix_stems",
+    f"""WITH RECURSIVE wl AS (SELECT DISTINCT word FROM {{plant_words}}), {STEMS}
+      SELECT word, CAST(pos - 1 AS INTEGER) AS pos, stem FROM stm""",
+)
 def affix_stems(spark, sf):
     words = view(spark, sf, "plant_words").select("word").distinct()
     return words.select("word", F.posexplode(D.stems(F.col("word"))).alias("pos", "stem"))

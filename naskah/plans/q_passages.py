@@ -201,7 +201,12 @@ def letter_counts(texts) -> np.ndarray:
     return out
 
 
-@query("ud1_embedder_slot")
+@query(
+    "ud1_embedder_slot",
+    f"""WITH sent AS (SELECT source AS source_id, doc_id AS page_number, {SENTENCES} AS s FROM {{documents}})
+      SELECT source_id, page_number, CAST(unnest(range(0, greatest(len(s) - 3, 0) + 1)) AS INTEGER) AS window_idx,
+        26 AS dims, 1.0::DOUBLE AS norm FROM sent WHERE len(s) > 0""",
+)
 def embedder_slot(spark, sf):
     windows = P.source_windows(_pages(spark, sf))
     embedded = V.embed_texts(windows, "window_text", letter_counts, "passage", e5=True)
