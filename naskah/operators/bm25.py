@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from naskah.constants import BM25_B, BM25_K1
@@ -41,8 +41,11 @@ def bm25_index(docs: DataFrame) -> DataFrame:
     )
 
 
-def bm25_rank(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scores of every (query, document) pair that shares a term.
+def bm25_rank(docs: DataFrame, queries: DataFrame, top_k: int | None = None) -> DataFrame:
+    """Scores of every (query, document) pair that shares a term, or the ``top_k`` per query.
+
+    Without ``top_k`` the output is as large as all pairs that share a term. Ties go to the
+    lower document id.
 
     Postings are cut to the query terms before they are counted or shuffled.
     A term repeated in the query counts each time.
@@ -69,10 +72,14 @@ def bm25_rank(docs: DataFrame, queries: DataFrame) -> DataFrame:
     tf = F.col("tf") * (BM25_K1 + 1) / (
         F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / avg_len)
     )
-    return (
+    scores = (
         hits.select("doc_id", "term", tf.alias("s"))
         .join(weights, "term")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("w") * F.col("s")).alias("score"))
         .filter(F.col("score") > 0)
     )
+    if top_k is None:
+        return scores
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k).drop("rank")

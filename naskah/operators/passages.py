@@ -17,11 +17,11 @@ from naskah.functions import passages as P
 from naskah.functions import text as T
 from naskah.functions.vectors import dot
 
-_GRAM = 3
+_GRAM = 5
 
 
 def _grams(word: Column) -> Column:
-    """Substrings a keyword may be found by: its own length up to three characters."""
+    """Substrings a keyword may be found by: its own length up to ``_GRAM`` characters."""
     return F.array_distinct(
         F.flatten(
             F.transform(
@@ -41,13 +41,15 @@ def _grams(word: Column) -> Column:
 def keyword_pages(queries: DataFrame, pages: DataFrame) -> DataFrame:
     """``query_id, source_id, page_number, hits``: distinct keywords found in each page.
 
-    A keyword has no blanks, so a page holds it iff one of the page's words does. Distinct
-    words are compared with distinct keywords once, through a shared short substring.
+    A keyword has no blanks, so a page holds it iff one of the page's words does. Only pages of
+    sources that are asked for are split; distinct words are compared with distinct keywords
+    once, through a shared substring.
     """
     kw = queries.select(
         "query_id", "source_id", F.explode(P.keywords(F.col("context"))).alias("keyword")
     )
-    words = pages.select(
+    asked = queries.select("source_id").distinct()
+    words = pages.join(asked, "source_id", "left_semi").select(
         "source_id", "page_number",
         F.explode(F.array_distinct(F.split(F.lower("content"), T.WS + "+"))).alias("word"),
     ).filter("word <> ''")

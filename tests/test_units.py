@@ -325,3 +325,14 @@ def test_udf_code_reaches_executors(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS 3" in done.stdout, done.stderr[-2000:]
+
+
+def test_bm25_top_k(spark):
+    from naskah.operators import bm25 as BM
+
+    docs = spark.createDataFrame([(i, "satu dua tiga " * (i + 1) + f"kata{i}") for i in range(6)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "dua kata3"), (2, "zzz")], "query_id long, text string")
+    every = sorted(((r.query_id, -r.score, r.doc_id) for r in BM.bm25_rank(docs, queries).collect()))
+    top = sorted(((r.query_id, -r.score, r.doc_id) for r in BM.bm25_rank(docs, queries, 2).collect()))
+    assert top == every[:2] and top[0][2] == 3
+    assert BM.bm25_rank(docs.limit(0), queries).count() == 0  # empty corpus, no overlap
