@@ -234,7 +234,8 @@ def _repeated(items: DataFrame, level: int) -> DataFrame:
         "runs",
     )
     names = named.groupBy("name").agg(F.sum("weight").alias("total"), F.min("hull").alias("h0"), F.max("hull").alias("h1"))
-    names = names.where("total > 1").select("name", (F.col("h0") == F.col("h1")).alias("single"))
+    # written first, so that the join with it can split a name of very many runs
+    names = materialize(names.where("total > 1").select("name", (F.col("h0") == F.col("h1")).alias("single")), "run-names")
     kept = materialize(named.join(names, "name"), "repeated-runs")
     whole = kept.where("single").select("item", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1).alias("hi"))
     if last:
