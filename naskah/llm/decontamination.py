@@ -35,7 +35,7 @@ from naskah.llm import text as T
 
 RANK = 128
 OVERSAMPLE = 16
-FEATURES = 1 << 15
+FEATURES = 1 << 14
 CELL = 16  # a window is two cells
 ITEM_WORDS = 64
 BLOCK_ITEMS = 20_000
