@@ -75,9 +75,9 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secret-like strings of all documents with the forest's score; findings have is_secret = 1."""
+    """Secrets of all documents: candidates that the forest keeps, with its score."""
     docs = table(spark, sf_dir, "documents")
-    return secrets.scan(docs, secrets.train(docs))
+    return secrets.scan(docs, secrets.train(docs)).where("is_secret = 1")
 
 
 @query
