@@ -5,8 +5,9 @@ Two classes of sizes m <= n with Jaccard >= 0.75 share at least ceil(0.75 n) shi
 common order of all shingles their prefixes of ``size - ceil(0.75 size) + l`` therefore share at
 least ``l`` shingles. The order puts shingles seen in many documents last. Each class picks the
 ``l`` with the least estimated cost: one posting more per step, against candidates, estimated as
-the list lengths of the prefix divided by ``l``. A pair is verified when it shares
-``max(l of either)`` shingles of the prefixes of that length.
+the list lengths of the prefix divided by ``l`` (a shingle not known to be common counts one). As a
+pair shares ``l`` shingles, the larger class leaves its ``l - 1`` longest lists out of the search:
+one shared list is always left.
 
 Postings travel as packed blocks per bucket; a bucket keeps the shingles of more than one class.
 Large groups of near copies would give all pairs of the group. Before pairs are formed, rounds of
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from naskah.llm import text as T
@@ -39,12 +40,13 @@ from naskah.session import materialize
 
 PERCENT = 75
 SHINGLE = 5
-LONGEST = 4  # largest l
-HOT_SHINGLES = 1 << 17  # shingles with a place in the order; all others come before them, by hash
+LONGEST = 16  # largest l
+LARGEST = (1 << 24) - 1  # sizes in postings stop here; such sets pass the size filter together
+HOT_SHINGLES = 1 << 16  # shingles with a place in the order; all others come before them, by hash
 BITS = 1024
 BUCKET_POSTINGS = 250_000
 BROADCAST_ROWS = 1_000_000
-ROUNDS = 6
+ROUNDS = 3
 _U64 = np.uint64
 
 
@@ -95,21 +97,23 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
         kind = pa.null()
         for batch in batches:
             kind = batch.column(0).type
-            sizes, sigs, bits = [], [], []
-            for x in doc_sets(batch.column(1)):
-                sizes.append(len(x))
-                sigs.append(_signature(x) if len(x) else None)
-                bits.append(_bitmap(x) if len(x) else None)
-                stretch.append(x)
-                held += len(x)
-                if held > 2_000_000:
-                    yield common()
-                    stretch, held = [], 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()),
-                 pa.array(sigs, pa.int64()), pa.array(bits, pa.list_(pa.int64()))],
-                names=["kind", "id", "n", "sig", "bits"],
-            )
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sizes, sigs, bits = [], [], []
+                for x in doc_sets(part.column(1)):
+                    sizes.append(len(x))
+                    sigs.append(_signature(x) if len(x) else None)
+                    bits.append(_bitmap(x) if len(x) else None)
+                    stretch.append(x)
+                    held += len(x)
+                    if held > 2_000_000:
+                        yield common()
+                        stretch, held = [], 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(len(sizes), np.int32)), part.column(0), pa.array(sizes, pa.int64()),
+                     pa.array(sigs, pa.int64()), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["kind", "id", "n", "sig", "bits"],
+                )
         if held:
             yield common()
 
@@ -128,10 +132,9 @@ def prefix(x: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray) -> tuple[np.n
         freq = np.where(hot[at] == x, hot_counts[at], 0)
     order = np.argsort(freq, kind="stable")[:length] if freq.any() else np.arange(length)
     lists = np.cumsum(np.maximum(freq[order], 1))
-    best = min(
-        range(1, min(LONGEST, _need(n)) + 1),
-        key=lambda k: 2 * (k - 1) + lists[min(length, base + k - 1) - 1] / k,
-    ) if freq[order].any() else 1
+    steps = np.arange(1, min(LONGEST, _need(_need(n))) + 1)  # any partner has _need(n) shingles at least
+    cost = 2 * (steps - 1) + lists[np.minimum(length, base + steps - 1) - 1] / steps
+    best = int(steps[cost.argmin()])
     level = np.maximum(np.arange(length) - base + 2, 1)
     return x[order], level, best, freq[order] > 0
 
@@ -166,10 +169,10 @@ def _postings(docs: DataFrame, text: str, hot: np.ndarray, hot_counts: np.ndarra
                     continue
                 seen.add(sig)
                 tokens, level, best, is_hot = prefix(x, hot, hot_counts)
-                info = (len(x) << 6 | best << 3 | level).astype(np.uint32)
+                info = (min(len(x), LARGEST) << 8 | (best - 1) << 4 | level - 1).astype(np.uint32)
                 parts.append((tokens, np.full(len(tokens), sig, np.int64), info, is_hot))
                 held += len(tokens)
-                if held > 1_000_000:
+                if held > 500_000:
                     yield flush()
                     parts, seen, held = [], set(), 0
         if parts:
@@ -199,11 +202,18 @@ def _shared(key: tuple, group: pa.Table) -> pa.Table:
         many[:-1] |= same
         token, sig, info = token[many], sig[many], info[many]
     return pa.table({
-        "token": token.view(np.int64), "sig": sig, "n": (info >> 6).astype(np.int32),
-        "best": (info >> 3 & 7).astype(np.int32), "level": (info & 7).astype(np.int32),
+        "token": token.view(np.int64), "sig": sig, "n": (info >> 8).astype(np.int32),
+        "best": (info >> 4 & 15).astype(np.int32) + 1, "level": (info & 15).astype(np.int32) + 1,
     })
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, sets: list[DataFrame], docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (a, b) with Jaccard at or above the threshold, as written edges; ``sets`` grows by what was read."""
     spark = docs.sparkSession
@@ -217,8 +227,8 @@ def _verify(pairs: DataFrame, classes: DataFrame, sets: list[DataFrame], docs: D
     differ = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     likely = materialize(both.where(differ <= total - 2 * least).select("a", "b", "ia", "ib", least.alias("least")), "pairs")
     wanted = likely.select(F.col("a").alias("sig"), F.col("ia").alias("id")).unionAll(likely.select("b", "ib")).distinct()
-    for known in sets:
-        wanted = wanted.join(known.select("sig"), "sig", "left_anti")
+    if sets:
+        wanted = wanted.join(_together(sets).select("sig"), "sig", "left_anti")
     wanted = materialize(wanted, "wanted")
     n = wanted.count()
     if n:
@@ -239,9 +249,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, sets: list[DataFrame], docs: D
         sets.append(materialize(read, "sets"))
     if not sets:
         return spark.createDataFrame([], "u long, v long")
-    every = sets[0]
-    for more in sets[1:]:
-        every = every.unionAll(more)
+    every = _together(sets)
     checked = (
         likely.join(every.select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(every.select(F.col("sig").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -250,21 +258,40 @@ def _verify(pairs: DataFrame, classes: DataFrame, sets: list[DataFrame], docs: D
     return materialize(checked.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return postings.withColumn("component", F.col("sig"))
+def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return postings.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
         "component", F.coalesce("component", "sig")
     )
 
 
-def _open_lists(postings: DataFrame, labels: DataFrame | None, group: list[str]) -> DataFrame:
+def _open_lists(postings: DataFrame, labels: DataFrame, group: list[str]) -> DataFrame:
     """Postings of lists that still hold more than one component."""
     rows = _labelled(postings, labels)
     lists = rows.groupBy(*group).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     return rows.join(lists.select(*group), group, "left_semi")
 
 
+def _merge(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after components were hooked to the smallest one they are linked with.
+
+    Chains are followed four links far; what stays apart is merged by a later round or at the end.
+    """
+    ends = found
+    for side in ("u", "v"):
+        ends = ends.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+        ends = ends.withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    ends = ends.select(F.greatest("cu", "cv").alias("c"), F.least("cu", "cv").alias("to")).where("c <> to")
+    hook = ends.groupBy("c").agg(F.min("to").alias("to"))
+    for _ in range(2):
+        after = hook.select(F.col("c").alias("to"), F.col("to").alias("next"))
+        hook = hook.join(after, "to", "left").select("c", F.coalesce("next", "to").alias("to"))
+    new = found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left")
+    every = labels.join(new.select("node"), "node", "left_anti").unionAll(
+        new.select("node", F.coalesce("component", "node").alias("component"))
+    )
+    return every.join(hook, every.component == hook.c, "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
 def _sized(n: Column) -> Column:
     """Size class: sets that can be linked are in equal or neighbouring classes."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
@@ -276,6 +303,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ``class_id`` is the smallest key with an equal set, ``component_id`` the smallest key reachable
     over links.
     """
+    spark = docs.sparkSession
     described = materialize(describe(docs, key, text), "shingle-sets")
     members = described.where("kind = 0").select("id", "n", "sig")
     classes = materialize(
@@ -284,47 +312,56 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
     # at most HOT_SHINGLES rows reach the driver; they steer the order, not the result
     common = described.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(HOT_SHINGLES)
-    rows = sorted((np.array([r["sig"]], np.int64).view(_U64)[0], r["n"]) for r in common.collect())
-    hot, hot_counts = np.array([r[0] for r in rows], _U64), np.array([r[1] for r in rows], np.int64)
+    table = common.toArrow()
+    hot = table.column("sig").to_numpy().astype(np.int64).view(_U64)
+    order = np.argsort(hot)
+    hot, hot_counts = hot[order], table.column("n").to_numpy().astype(np.int64)[order]
     total = classes.agg(F.sum(F.col("n") * (100 - PERCENT) / 100 + LONGEST)).first()[0] or 0
     buckets = max(16, int(total // BUCKET_POSTINGS))
     packed = _postings(docs, text, hot, hot_counts, buckets)
     postings = materialize(packed.groupBy("bucket").applyInArrow(_shared, _POSTING), "postings")
 
     sets: list[DataFrame] = []
-    labels, links = None, None
-    lists = postings.where("level = 1").select("token", "sig", _sized(F.col("n")).alias("k"))
+    links: list[DataFrame] = []
+    labels = spark.createDataFrame([], "node long, component long")
+    lists = postings.where("level = 1").select("token", "sig", "best", _sized(F.col("n")).alias("k"))
     for turn in range(ROUNDS):
-        open_rows = materialize(_open_lists(lists, labels, ["token", "k"]).select("token", "k", "sig", "component"), "lists")
+        open_rows = materialize(_open_lists(lists, labels, ["token", "k"]).select("token", "k", "sig", "best", "component"), "lists")
         rank = F.xxhash64("sig", F.lit(turn))
         centre = open_rows.groupBy("token", "k").agg(F.min(F.struct(rank.alias("rank"), "sig", "component")).alias("c"))
         near = (
             open_rows.join(centre, ["token", "k"]).where("component <> c.component")
-            .groupBy("sig", F.col("c.sig").alias("centre")).count()
-            .groupBy("sig").agg(F.max(F.struct("count", "centre")).alias("best"))
+            .groupBy("sig", F.col("c.sig").alias("centre"), "best").count().where("count >= best")
+            .groupBy("sig").agg(F.max(F.struct("count", "centre")).alias("near"))
         )
-        found = _verify(near.select(F.col("sig").alias("a"), F.col("best.centre").alias("b")), classes, sets, docs, key, text)
+        found = _verify(near.select(F.col("sig").alias("a"), F.col("near.centre").alias("b")), classes, sets, docs, key, text)
         if found.isEmpty():
             break
-        links = found if links is None else links.unionAll(found)
-        labels = materialize(components(links), "labels")
+        links.append(found)
+        labels = materialize(_merge(labels, found), "labels")
 
-    rest = _open_lists(postings, labels, ["token"])
+    rest = materialize(_open_lists(postings, labels, ["token"]), "open-postings")
+    lengths = materialize(rest.groupBy("token").agg(F.count("*").alias("length")), "list-lengths")
+    heavy = Window.partitionBy("sig").orderBy(F.desc("length"), "token")  # one class: at most its prefix
     k = _sized(F.col("n"))
-    left = rest.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("best").alias("ba"), F.col("level").alias("la"), F.col("component").alias("ca"), k.alias("k"))
-    right = rest.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("best").alias("bb"), F.col("level").alias("lb"), F.col("component").alias("cb"), F.explode(F.array(k, k + 1)).alias("k"))
+    left = (
+        rest.where("level <= best").join(lengths, "token")
+        .withColumn("place", F.row_number().over(heavy)).where("place >= best")
+        .select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("best").alias("l"), F.col("component").alias("ca"), k.alias("k"))
+    )
+    right = rest.select(
+        "token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("level").alias("lb"), F.col("component").alias("cb"),
+        F.explode(F.array(k, k + 1)).alias("k"),
+    )
     # sizes in ascending order (b before a), so that each pair of a list comes once
     ordered = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    l = F.least(F.greatest("ba", "bb"), F.ceil(PERCENT * F.col("nb") / 100))
     pairs = (
         left.join(right, ["token", "k"])
-        .where(ordered & (F.col("ca") != F.col("cb")) & (100 * F.col("nb") >= PERCENT * F.col("na")))
-        .where((F.col("la") <= l) & (F.col("lb") <= l))
-        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(l).alias("l")).where("shared >= l").select("a", "b")
+        .where(ordered & (F.col("ca") != F.col("cb")) & (100 * F.col("nb") >= PERCENT * F.col("na")) & (F.col("lb") <= F.col("l")))
+        .select("a", "b").distinct()
     )
-    found = _verify(pairs, classes, sets, docs, key, text)
-    links = found if links is None else links.unionAll(found)
-    labels = materialize(components(links), "labels")
+    links.append(_verify(pairs, classes, sets, docs, key, text))
+    labels = materialize(components(_together(links)), "labels")
 
     named = classes.select("sig", "n", "id").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
     named = named.withColumn("component", F.coalesce("component", "sig"))

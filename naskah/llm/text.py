@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
