@@ -10,9 +10,11 @@ subsequence of words with the neighbourhood of the window: a passage that is the
 is a leak, a smaller part (a paraphrase) is one if the passage's last sentence, its answer, is
 there in order as well.
 
-Letters are lower-cased. Words are hashed into ``FEATURES`` columns, so the projection has a fixed size. Only benchmark
-words that at most ``COMMON`` of the documents contain have weight; if an item has no such word,
-all its words keep it. Items come to the driver in blocks of ``BLOCK_ITEMS``; each block is one
+Letters are lower-cased. Words are hashed into ``FEATURES`` columns, so the projection has a fixed size. All benchmark
+words have weight. Words that at most ``COMMON`` of the documents contain weigh alike, so that the
+words that a paraphrase replaces never outweigh those it keeps by far. An occurrence near which
+other words of an item stand as they do there is not counted as a document's: a leak in a large
+part of the documents does not make its own words common. Items come to the driver in blocks of ``BLOCK_ITEMS``; each block is one
 pass over the documents.
 
 Defined results: null or empty documents and items without words match nothing. Repeated documents
@@ -40,6 +42,8 @@ CELL = 16  # a window is two cells
 ITEM_WORDS = 64
 BLOCK_ITEMS = 20_000
 COMMON = 0.02
+REACH = 4  # words on either side that tell an occurrence inside an item
+TOLD = 2  # of them
 COSINE = 0.4
 COVER = 0.2
 LEAK = 0.7
@@ -91,19 +95,38 @@ def _find(vocabulary: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, vocabulary[at] == x
 
 
-def document_frequency(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> tuple[np.ndarray, int]:
-    """Documents that hold each vocabulary word, and the number of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary)
+def neighbours(p: Passages) -> np.ndarray:
+    """Sorted pairs of vocabulary words at most REACH apart in a passage."""
+    size = len(p.vocabulary)
+    pairs = [np.array([-1])]
+    for w in p.words:
+        at = _find(p.vocabulary, w)[0]
+        pairs += [at[:-k] * size + at[k:] for k in range(1, REACH + 1)]
+    return np.unique(np.concatenate(pairs))
+
+
+def document_frequency(docs: DataFrame, p: Passages, text: str = "text") -> tuple[np.ndarray, int]:
+    """Documents that hold each vocabulary word outside items, and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((p.vocabulary, neighbours(p)))
+    size = len(p.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, pairs = shared.value
         total, n = np.zeros(size, np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for b in T.blocks(pc.utf8_lower(batch.column(0))):
                 w = T.words(b)
-                at, hit = _find(shared.value, w.hashes)
-                pair = np.unique(T.row_of(w.first)[hit] * size + at[hit])
+                at, hit = _find(vocabulary, w.hashes)
+                rows = T.row_of(w.first)
+                told = np.zeros(len(at), np.int8)
+                for k in range(1, REACH + 1):
+                    near = np.flatnonzero(hit[:-k] & hit[k:] & (rows[:-k] == rows[k:]))
+                    near = near[_find(pairs, at[near] * size + at[near + k])[1]]
+                    told[near] += 1
+                    told[near + k] += 1
+                free = hit & (told < TOLD)
+                pair = np.unique(rows[free] * size + at[free])
                 total += np.bincount(pair % size, minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -178,13 +201,8 @@ def build_index(docs: DataFrame, texts: list[str | None], text: str = "text") ->
     p = passages(texts)
     if not p.words:
         return None
-    frequency, n = document_frequency(docs, p.vocabulary, text)
-    idf = np.log((n + 1) / (frequency + 1)) + 0.01
-    rare = frequency <= COMMON * n
-    only = [w for w in p.words if not rare[_find(p.vocabulary, w)[0]].any()]
-    for w in only:
-        rare[_find(p.vocabulary, w)[0]] = True
-    weights = np.where(rare, idf, 0.0)
+    frequency, n = document_frequency(docs, p, text)
+    weights = np.minimum(np.log((n + 1) / (frequency + 1)), -np.log(COMMON)) + 0.01
     basis = randomised_svd(docs.sparkSession, p, weights)
     row, feature, value = _rows(p.words, p.vocabulary, weights)
     queries = np.zeros((len(p.words), basis.shape[1]), np.float32)
@@ -218,7 +236,6 @@ def _masks(words: np.ndarray) -> dict[int, int]:
 def candidates(w: T.Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first word of the window, passage, cosine) at or above COSINE and COVER."""
     at, hit = _find(index.passages.vocabulary, w.hashes)
-    hit &= index.weights[at] > 0
     place = np.flatnonzero(hit)
     none = np.zeros(0, np.int64)
     if not len(place):
@@ -231,7 +248,7 @@ def candidates(w: T.Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.nda
     codes = code[starts]
     least = float(index.norms.min())
     found = []
-    step = 8192  # cells at a time
+    step = 4096  # cells at a time
     for lo in range(0, len(starts), step):
         hi = min(len(starts), lo + step + 1)  # one cell more: the second half of the last window
         s, e = starts[lo], starts[hi] if hi < len(starts) else len(code)

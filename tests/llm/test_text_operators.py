@@ -172,6 +172,28 @@ def test_decontamination(spark, odd_documents, no_documents):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_paraphrase_in_a_third_of_all_documents(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    often = words[:600]  # each in about 15 % of the documents
+    items = [" ".join(r.choices(words[600:], k=50)) + "." for _ in range(10)]
+    items[1] = " ".join(w if k % 4 == 3 else r.choice(often) for k, w in enumerate(items[1].split()[:40])) + "."
+    copies = [[r.choice(words) if k % 5 == 2 else w for k, w in enumerate(items[0].split())]]
+    copies.append([r.choice(words) if k % 4 == 3 else w for k, w in enumerate(items[1].split())])
+    texts, planted = [], set()
+    for i in range(300):
+        t = [r.choice(often) if r.random() < 0.5 else r.choice(words) for _ in range(200)]
+        which = 0 if i % 3 == 0 else 1 if i % 30 == 1 else None  # a third; some, only their common words kept
+        if which is not None:
+            at = r.randint(0, 200)
+            t[at:at] = copies[which]
+            planted.add((i, which))
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontamination.leaks(docs, bench).collect()} == planted
+
+
 def test_common_subsequence():
     r = random.Random(3)
     for _ in range(50):
