@@ -1,10 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 Every run of text between block boundaries is a node with a root-to-leaf tag path. Text length and
-punctuation are summed per path; both ratios are smoothed over the paths in page order and fused
-into one score; paths below the standard deviation of the scores are cut. The element that
-holds nearly all text of the surviving paths is the content, and all its nodes are kept, short
-ones too, except those in parts that are never content (navigation, forms, adverts, comments …).
+punctuation are summed per path; both ratios are smoothed over the nodes in page order and fused
+into one score, which is raised inside ``<article>`` and ``<main>``. Nodes below the standard deviation of the scores are cut,
+but blocks beside the kept ones (titles, leads, short paragraphs, lists) are filled in again.
+Parts that are never content (navigation, forms, adverts, comments …) are left out before.
 
 Markup may be broken: tags that HTML closes by itself are closed, end tags without a start are
 ignored, and open elements end with the page. ``<br>`` counts as white space inside a block.
@@ -56,7 +56,9 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
-COVER = 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
+BLOCKS = HEADINGS | frozenset("p li ul ol td th tr thead tbody tfoot table blockquote pre figure figcaption dl dt dd".split())
+BOOST = 10.0  # of scores in an article
 
 
 class _Element:
@@ -178,57 +180,46 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
 
 
-def path_scores(nodes: list[tuple[_Element, str]]) -> dict[str, float]:
-    """Fused, smoothed ratio of each tag path: its share of text length times its punctuation ratio."""
+def _chain(element: _Element | None) -> Iterator[_Element]:
+    while element is not None:
+        yield element
+        element = element.parent
+
+
+def node_scores(nodes: list[tuple[_Element, str]]) -> np.ndarray:
+    """Fused, smoothed ratios of each node's tag path: text length times punctuation."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for element, text in nodes:
-        length[element.path] += len(text)
-        marks[element.path] += len(PUNCTUATION.findall(text))
-        count[element.path] += 1
-    paths = list(length)
+    paths = [e.path for e, _ in nodes]
+    for path, (_, text) in zip(paths, nodes):
+        length[path] += len(text)
+        marks[path] += len(PUNCTUATION.findall(text))
+        count[path] += 1
     text_ratio = np.array([length[p] / count[p] for p in paths], float)
     mark_ratio = np.array([(marks[p] + 1) / count[p] for p in paths], float)
-    total = np.array([length[p] for p in paths], float)
-    fused = _smooth(text_ratio) * _smooth(mark_ratio) * total
-    return dict(zip(paths, fused.tolist()))
+    weight = np.array([BOOST if e.inside else 1.0 for e, _ in nodes])
+    return _smooth(text_ratio) * _smooth(mark_ratio) * weight
 
 
 def main_text(page: str) -> str:
     """Main text of one page; blocks are separated by an empty line."""
     nodes = [(e, t) for e, t in _nodes(page) if not e.out and not _menu(e)]
-    if any(e.inside for e, _ in nodes):
-        nodes = [(e, t) for e, t in nodes if e.inside]
     if not nodes:
         return ""
-    scores = path_scores(nodes)
-    threshold = float(np.std(list(scores.values())))
-    held: dict[_Element, int] = defaultdict(int)
-    depth: dict[_Element, int] = {}
-    total = 0
-    for element, text in nodes:
-        if scores[element.path] >= threshold:
-            total += len(text)
-            chain = []
-            while element is not None:
-                chain.append(element)
-                element = element.parent
-            for d, e in enumerate(reversed(chain)):
-                held[e] += len(text)
-                depth[e] = d
-    content = max((e for e in held if held[e] >= COVER * total), key=depth.__getitem__)
-    while content.tag not in ("article", "main") and content.inside:
-        content = content.parent
-    while content.parent is not None and content.tag in ("p", "li", "ul", "ol", "td", "tr", "tbody", "table", "blockquote", "pre"):
-        content = content.parent
-    return "\n\n".join(t for e, t in nodes if _within(e, content))
-
-
-def _within(element: _Element | None, content: _Element) -> bool:
-    while element is not None:
-        if element is content:
-            return True
-        element = element.parent
-    return False
+    scores = node_scores(nodes)
+    chosen = scores >= np.std(scores)
+    at = np.flatnonzero(chosen)
+    around = {e for i in at for e in _chain(nodes[i][0].parent)}
+
+    def beside(i: int) -> bool:
+        """A block of an element that chosen nodes are in; on the page's top level only between them."""
+        element = nodes[i][0]
+        if element not in around:
+            element = element.parent or element
+        while element.tag in BLOCKS:
+            element = element.parent
+        return element in around and (element.tag not in ("", "html", "body") or at[0] < i < at[-1])
+
+    return "\n\n".join(t for i, (_, t) in enumerate(nodes) if chosen[i] or beside(i))
 
 
 def _menu(element: _Element | None) -> bool:

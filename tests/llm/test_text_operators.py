@@ -82,6 +82,24 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+BODY = "<p>One, two three. Four; five six seven, eight nine ten, and so on.</p>" * 4
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div id=wrap><h1>Title</h1><p>The lead, short.</p><div class=text>{BODY}<h2>Part</h2>{BODY}</div></div><p>Copy</p>",
+     ["Title", "The lead, short.", 4, "Part", 4]),
+    (f"<div class=story>{BODY}</div><aside><article><p>Teaser</p></article></aside>", [4]),
+    (f"<article><p>Teaser</p></article><div class=story>{BODY * 3}</div>", ["Teaser", 12]),
+])
+def test_main_text_by_scores(page, want):
+    assert html_text.main_text(page).split("\n\n") == _blocks(want)
+
+
+def _blocks(want):
+    line = BODY[3:].split("</p>")[0]
+    return [x for w in want for x in ([line] * w if isinstance(w, int) else [w])]
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame(
         [(1, None, None, "x"), (2, "u", "", "x"), (2, "u", "<p>a, b.</p>", "x"), (None, "u", "<p>a, b.</p>", None)],
