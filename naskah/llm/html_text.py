@@ -2,9 +2,11 @@
 
 Every run of text between block boundaries is a node with a root-to-leaf tag path. Text length and
 punctuation are summed per path; both ratios are smoothed over the nodes in page order and fused
-into one score, which is raised inside ``<article>`` and ``<main>``. Nodes below the standard deviation of the scores are cut,
+into one score, which is raised inside ``<article>`` and ``<main>`` and lowered where class or id
+hint at adverts, comments and the like. Nodes below the standard deviation of the scores are cut,
 but blocks beside the kept ones (titles, leads, short paragraphs, lists) are filled in again.
-Parts that are never content (navigation, forms, adverts, comments …) are left out before.
+Parts that are never content (navigation, forms …) are left out before. Hints don't count for
+headings, nor for what holds the largest article or most of the text.
 
 Markup may be broken: tags that HTML closes by itself are closed, end tags without a start are
 ignored, and open elements end with the page. ``<br>`` counts as white space inside a block.
@@ -59,13 +61,15 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 BLOCKS = HEADINGS | frozenset("p li ul ol td th tr thead tbody tfoot table blockquote pre figure figcaption dl dt dd".split())
 BOOST = 10.0  # of scores in an article
+PENALTY = 0.02  # of scores where names hint at something else
+MOST = 2 / 3
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "out", "inside", "linked", "text")
+    __slots__ = ("tag", "parent", "path", "out", "inside", "linked", "text", "hint")
 
-    def __init__(self, tag: str, parent: _Element | None, out: bool) -> None:
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: _Element | None, out: bool, hint: bool = False) -> None:
+        self.tag, self.parent, self.out, self.hint = tag, parent, out, hint
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
         self.linked = self.text = 0  # characters, for lists
@@ -74,16 +78,20 @@ class _Element:
 def _hidden(tag: str, attributes: str, inside: bool) -> bool:
     if tag in NEVER or tag == "header" and not inside:
         return True
-    if tag in ("html", "body", "article", "main") or not attributes:
+    if tag in ("html", "body", "article", "main"):
         return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        if name.lower() == "role":
-            if value.strip().lower() in ROLES:
-                return True
-        elif any(x.lower() in HINTS for x in NAME_PART.findall(value)):
-            return True
-    return False
+    return any(
+        name.lower() == "role" and (a or b or c).strip().lower() in ROLES for name, a, b, c in ATTRIBUTE.findall(attributes)
+    )
+
+
+def _hinted(tag: str, attributes: str) -> bool:
+    if tag in HEADINGS or tag in ("html", "body", "article", "main"):
+        return False
+    return any(
+        name.lower() != "role" and any(x.lower() in HINTS for x in NAME_PART.findall(a or b or c))
+        for name, a, b, c in ATTRIBUTE.findall(attributes)
+    )
 
 
 def _nodes(page: str) -> list[tuple[_Element, str]]:
@@ -170,7 +178,7 @@ def _nodes(page: str) -> list[tuple[_Element, str]]:
         if tag not in INLINE:
             flush()
         parent = stack[-1]
-        stack.append(_Element(tag, parent, parent.out or _hidden(tag, attributes, parent.inside)))
+        stack.append(_Element(tag, parent, parent.out or _hidden(tag, attributes, parent.inside), _hinted(tag, attributes)))
     flush()
     return nodes
 
@@ -186,17 +194,30 @@ def _chain(element: _Element | None) -> Iterator[_Element]:
         element = element.parent
 
 
-def node_scores(nodes: list[tuple[_Element, str]]) -> np.ndarray:
+def _hints(nodes: list[tuple[_Element, str]]) -> list[bool]:
+    """Whether each node is in an element whose name hints at something else than content."""
+    held: dict[_Element, int] = defaultdict(int)
+    for element, text in nodes:
+        for e in _chain(element):
+            held[e] += len(text)
+    articles = [e for e in held if e.tag in ("article", "main")]
+    around = set(_chain(max(articles, key=held.__getitem__))) if articles else set()
+    most = MOST * sum(len(t) for _, t in nodes)
+    hints = {e for e in held if e.hint and e not in around and held[e] < most}
+    return [any(e in hints for e in _chain(element)) for element, _ in nodes]
+
+
+def node_scores(nodes: list[tuple[_Element, str]], hinted: list[bool]) -> np.ndarray:
     """Fused, smoothed ratios of each node's tag path: text length times punctuation."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    paths = [e.path for e, _ in nodes]
+    paths = [(e.path, h) for (e, _), h in zip(nodes, hinted)]
     for path, (_, text) in zip(paths, nodes):
         length[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
     text_ratio = np.array([length[p] / count[p] for p in paths], float)
     mark_ratio = np.array([(marks[p] + 1) / count[p] for p in paths], float)
-    weight = np.array([BOOST if e.inside else 1.0 for e, _ in nodes])
+    weight = np.array([(BOOST if e.inside else 1.0) * (PENALTY if h else 1.0) for (e, _), h in zip(nodes, hinted)])
     return _smooth(text_ratio) * _smooth(mark_ratio) * weight
 
 
@@ -205,7 +226,8 @@ def main_text(page: str) -> str:
     nodes = [(e, t) for e, t in _nodes(page) if not e.out and not _menu(e)]
     if not nodes:
         return ""
-    scores = node_scores(nodes)
+    hinted = _hints(nodes)
+    scores = node_scores(nodes, hinted)
     chosen = scores >= np.std(scores)
     at = np.flatnonzero(chosen)
     around = {e for i in at for e in _chain(nodes[i][0].parent)}
@@ -219,7 +241,7 @@ def main_text(page: str) -> str:
             element = element.parent
         return element in around and (element.tag not in ("", "html", "body") or at[0] < i < at[-1])
 
-    return "\n\n".join(t for i, (_, t) in enumerate(nodes) if chosen[i] or beside(i))
+    return "\n\n".join(t for i, (_, t) in enumerate(nodes) if chosen[i] or not hinted[i] and beside(i))
 
 
 def _menu(element: _Element | None) -> bool:

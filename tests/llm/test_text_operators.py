@@ -100,6 +100,18 @@ def _blocks(want):
     return [x for w in want for x in ([line] * w if isinstance(w, int) else [w])]
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='wrapper no-sidebar'>{BODY}</div>", [4]), (f"<div class='widget Blog'>{BODY}</div>", [4]),
+    (f"<div id='page-with-nav'><article>{BODY}</article></div><p>Home</p>", [4]),
+    (f"<div class='has-sidebar'><article>{BODY}</article><div class=sidebar><p>Side, bar. A, b, c.</p></div></div>", [4]),
+    (f"<article><header class='entry-header'><h1>Title</h1></header>{BODY}<h2 id='related-work'>Related</h2>{BODY}</article>",
+     ["Title", 4, "Related", 4]),
+    ("<div class='ad'>Buy, now, and buy here.</div><article><p>A short, true text.</p></article>", ["A short, true text."]),
+])
+def test_main_text_in_hinted_wrappers(page, want):
+    assert html_text.main_text(page).split("\n\n") == _blocks(want)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame(
         [(1, None, None, "x"), (2, "u", "", "x"), (2, "u", "<p>a, b.</p>", "x"), (None, "u", "<p>a, b.</p>", None)],
