@@ -180,6 +180,36 @@ def test_secrets(spark, odd_documents, no_documents):
     assert secrets.scan(no_documents, secrets.train(no_documents, examples=100)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def secrets_model(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(4, 9))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=60))) for i in range(40)], "doc_id long, text string")
+    return secrets.train(docs, examples=3000)
+
+
+@pytest.mark.parametrize("spelling", [
+    "token={}", "API_KEY={}", "export DB_PASSWORD={}", "AWS_SECRET_ACCESS_KEY={}", "https://a.example.com/x?access_token={}&user=bob",
+    "token = \"{}\"", "password: {}",
+])
+def test_secrets_by_spelling(secrets_model, spelling):
+    r = random.Random(9)
+    found = 0
+    for i in range(60):
+        size, letters = [(40, "0123456789abcdef"), (32, "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), (14, "abcdefgXYZ23456!@#$%")][i % 3]
+        value = "".join(r.choice(letters) for _ in range(size))
+        text = f"nur tale {spelling.format(value)} rine salo"
+        spans, scores = secrets.findings(text, secrets_model)
+        found += value in [text[s:e] for (s, e), x in zip(spans, scores) if x >= secrets.THRESHOLD]
+    assert found >= 54
+
+
+def test_secret_spans_cut_names_only():
+    assert [t[s:e] for t in ["a request_id=0123456789abcdef01 b"] for s, e in secrets.spans_of(t)] == ["0123456789abcdef01"]
+    t = "ghp_0123456789abcdefXY/token=hunter2!secretX AbCd0123456789abcdefgh=="
+    assert [t[s:e] for s, e in secrets.spans_of(t)] == ["ghp_0123456789abcdefXY/", "hunter2!secretX", "AbCd0123456789abcdefgh=="]
+
+
 def test_decontamination(spark, odd_documents, no_documents):
     r = random.Random(6)
     words = ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(3, 9))) for _ in range(3000)]
