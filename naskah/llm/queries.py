@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from naskah.llm import bpe, decontamination, embedding, html_text, jaccard, lm, quality, secrets, sharding, substrings
+from naskah.llm import bpe, decontamination, embedding, html_text, jaccard, lm, quality, rules, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_sharding"] = sharding.oracle_sql()
+
+
+@query
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of the rule cascade on all documents."""
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_rules"] = rules.oracle_sql()

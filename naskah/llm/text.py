@@ -94,8 +94,8 @@ class Words(NamedTuple):
     first: np.ndarray  # index of each row's first word; len rows + 1
 
 
-def words(block: Block) -> Words:
-    """All words of a block, row by row."""
+def words(block: Block, values: np.ndarray = LOWER_VALUES) -> Words:
+    """All words of a block, row by row; ``values`` (one per byte) decide which words are equal."""
     data, n = block.data, len(block.data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -109,7 +109,7 @@ def words(block: Block) -> Words:
     begins[heads] = inside[heads]
     stops[tails] = inside[tails]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    p = prefix_hash(LOWER_VALUES[data])
+    p = prefix_hash(values[data])
     hashes = mix((p[ends] - p[starts]) * powers(BASE_INVERSE, n)[starts])
     first = np.append(np.searchsorted(starts, block.starts), len(starts))
     # empty rows at a later row's start share that row's first word; both ranges stay right
