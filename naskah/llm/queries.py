@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from naskah.llm import bpe, decontamination, embedding, html_text, jaccard, lm, quality, rules, secrets, sharding, substrings
+from naskah.llm import bpe, decontamination, embedding, html_text, jaccard, lm, quality, rules, secrets, sharding, substrings, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_rules"] = rules.oracle_sql()
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the eight strongest components, whitened."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
