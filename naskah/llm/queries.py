@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from naskah.llm import bpe, decontamination, embedding, html_text, jaccard, lm, quality, rules, secrets, sharding, substrings, whitening
+from naskah.llm import bpe, decontamination, embedding, html_text, jaccard, lm, quality, rules, secrets, sharding, substrings, variants, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +98,12 @@ def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_rules"] = rules.oracle_sql()
 
 
+@query
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their most frequent near word and the root of its chain."""
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors on the eight strongest components, whitened."""
