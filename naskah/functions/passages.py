@@ -88,7 +88,7 @@ def windows(
 
 def bm25_tokens(text: Column) -> Column:
     """Lower-case ASCII tokens of two or more characters without stopwords, repeats kept."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), T.WS + "+")
+    words = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")
     return F.filter(words, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
 
 
@@ -152,16 +152,20 @@ def keywords(text: Column) -> Column:
 
 def proper_nouns(text: Column) -> Column:
     """Distinct names inside a sentence, acronyms and CamelCase words, lower-case."""
+    # the capital is asked for first: the look-behind then runs at few places
     mid = F.regexp_extract_all(
-        text, F.lit(T.js(r"(?<=\S\s)([A-Z][a-zA-Z]{2,}|[A-Z]{2,})")), F.lit(1)
+        text, F.lit(T.js(r"(?=[A-Z])(?<=\S\s)([A-Z][a-zA-Z]{2,}|[A-Z]{2,})")), F.lit(1)
     )
     bare = F.transform(
-        F.split(text, T.WS + "+"), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")
+        F.filter(F.split(text, T.WS + "+"), lambda w: w.rlike("[A-Z][^A-Z]*[A-Z]")),
+        lambda w: F.regexp_replace(w, "[^A-Za-z]", ""),
     )
     special = F.filter(
         bare,
         lambda w: w.rlike(r"^[A-Z]{2,}\z") | (w.rlike("^[A-Z][a-z]+[A-Z]") & (F.length(w) >= 4)),
     )
+    none = F.array().cast("array<string>")
+    special = F.when(text.rlike(r"[A-Z]\S*[A-Z]"), special).otherwise(none)
     return F.array_distinct(F.transform(F.concat(mid, special), F.lower))
 
 

@@ -59,8 +59,8 @@ def embed_texts(
     @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            vectors = np.asarray(embed([prefix + t for t in texts]), dtype=np.float32)
+            vectors = np.asarray(embed([prefix + t for t in texts]), dtype=float)
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            yield pd.Series(list(vectors / np.where(norms == 0, 1, norms)))
+            yield pd.Series(list((vectors / np.where(norms == 0, 1, norms)).astype(np.float32)))
 
     return df.withColumn("vector", run(F.col(text)))

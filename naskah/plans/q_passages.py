@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -113,38 +115,35 @@ def passage_summary(spark, sf):
     return P.passage_summary(match_passage(spark, sf).withColumn("status", status), "source_id")
 
 
-# Windows and queries get vectors of the embeddings table by a fixed rule.
-_VEC_N = "(SELECT count(*) FROM {embeddings})"
-SEM = f"""{SIGNALS},
-  v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding FROM {{embeddings}}),
-  sem AS (SELECT s.*, list_sum(list_transform(range(1, 65), lambda k: a.embedding[k]::DOUBLE * b.embedding[k]::DOUBLE)) AS cosine
-    FROM sig s JOIN v a ON a.i = s.query_id % {_VEC_N}
-    JOIN v b ON b.i = CASE WHEN ex = 1 AND s.page_number % 2 = 0 THEN s.query_id ELSE s.page_number * 31 + s.window_idx END % {_VEC_N}),
-  mg AS (SELECT query_id, greatest(max(cosine), 0) AS top, greatest(coalesce(max(cosine) FILTER (WHERE rn = 2), 0), 0) AS runner
-    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC) AS rn FROM sem) WHERE rn <= 2 GROUP BY 1),
-  sb AS (SELECT *, 0.55 * cosine + 0.2 * ex + 0.15 * noun + 0.1 * num AS combined FROM sem WHERE cosine >= 0.7 AND (ex > 0 OR noun > 0 OR num > 0 OR tok >= 0.2)),
-  bb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(combined, 9) DESC, page_rank, window_idx) AS rn FROM sb) WHERE rn = 1)"""
+def word_shapes(texts) -> np.ndarray:
+    """A stand-in model for the embedder slot: words counted by first and last letter and length."""
+    out = np.zeros((len(texts), 64), dtype=np.float32)
+    for i, t in enumerate(texts):
+        for w in re.findall("[A-Za-z]+", t):
+            w = w.lower()
+            out[i, (3 * ord(w[0]) + 7 * ord(w[-1]) + len(w)) % 64] += 1
+    return out
 
 
-def _semantic_scores(spark, sf):
-    from pyspark.sql import Window
+def shape_sql(key: str, source: str) -> str:
+    """``word_shapes`` of a table as rows (key, dimension, share of a unit vector), in SQL."""
+    code = "(3 * ascii(lower(w[1])) + 7 * ascii(lower(w[-1])) + length(w)) % 64"
+    return f"""SELECT {key}, c, (n / sqrt(sum(n * n) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS v FROM (
+      SELECT {key}, {code} AS c, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM {source}) GROUP BY 1, 2)"""
 
-    emb = table(spark, sf, "embeddings")
-    n = emb.agg(F.count("*")).scalar()
-    # The table's ids are 0 … n-1, so a remainder addresses a vector.
-    vec = emb.select((F.col("vec_id") - emb.agg(F.min("vec_id")).scalar()).alias("i"), "embedding")
-    sig = P.window_signals(_queries(spark, sf), _pages(spark, sf))
-    picked = F.when(
-        (F.col("exact") == 1) & (F.col("page_number") % 2 == 0), F.col("query_id")
-    ).otherwise(F.col("page_number") * 31 + F.col("window_idx"))
-    return (
-        sig.withColumn("qi", F.col("query_id") % n)
-        .withColumn("wi", picked % n)
-        .join(vec.select(F.col("i").alias("qi"), F.col("embedding").alias("q_vec")), "qi")
-        .join(vec.select(F.col("i").alias("wi"), F.col("embedding").alias("w_vec")), "wi")
-        .withColumn("cosine", V.dot(F.col("q_vec"), F.col("w_vec")))
-        .drop("q_vec", "w_vec", "qi", "wi")
-    )
+
+MODEL = "multilingual-e5-small"
+FLOOR = 0.78
+SEM = f"""{SIGNALS},
+  qv AS ({shape_sql('query_id', 'qt')}),
+  wv AS ({shape_sql('wid', 'win')}),
+  keyed AS MATERIALIZED (SELECT *, page_number * 100000 + window_idx AS wid FROM sig),
+  dots AS (SELECT k.query_id, k.wid, round(sum(qv.v * wv.v), 12) AS cosine FROM keyed k JOIN qv USING (query_id) JOIN wv ON wv.wid = k.wid AND wv.c = qv.c GROUP BY 1, 2),
+  sem AS (SELECT k.*, coalesce(cosine, 0) AS cosine FROM keyed k LEFT JOIN dots USING (query_id, wid)),
+  mg AS (SELECT query_id, greatest(max(cosine), 0) AS top, greatest(coalesce(max(cosine) FILTER (WHERE rn = 2), 0), 0) AS runner
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC) AS rn FROM sem) WHERE rn <= 2 GROUP BY 1),
+  sb AS (SELECT *, 0.55 * cosine + 0.2 * ex + 0.15 * noun + 0.1 * num AS combined FROM sem WHERE cosine >= {FLOOR} AND (ex > 0 OR noun > 0 OR num > 0 OR tok >= 0.2)),
+  bb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(combined, 7) DESC, page_rank, window_idx) AS rn FROM sb) WHERE rn = 1)"""
 
 
 @query(
@@ -154,10 +153,10 @@ def _semantic_scores(spark, sf):
       CASE WHEN combined IS NULL THEN NULL WHEN ex = 1 THEN 'Semantic embedding + exact n-gram overlap' WHEN noun > 0 THEN 'Semantic embedding + shared entity'
            WHEN num = 1 THEN 'Semantic embedding + shared number/year' ELSE 'Semantic embedding + token overlap' END AS reasoning
     FROM {{passage_queries}} q LEFT JOIN (SELECT bb.* FROM bb JOIN mg USING (query_id)
-      WHERE combined >= 0.42 AND (top - runner >= 0.015 OR cosine >= 0.75)) b ON b.query_id = q.query_id""",
+      WHERE combined >= 0.42 AND (top - runner >= 0.015 OR cosine >= {FLOOR} + 0.05)) b ON b.query_id = q.query_id""",
 )
 def match_passage_semantic(spark, sf):
-    return P.accept_semantic(_semantic_scores(spark, sf), _queries(spark, sf), "other")
+    return P.match_passages_semantic(_queries(spark, sf), _pages(spark, sf), word_shapes, MODEL)
 
 
 @query(
@@ -166,7 +165,8 @@ def match_passage_semantic(spark, sf):
 )
 def similarity_margin(spark, sf):
     """Over all windows of each query's candidate pages."""
-    m = P.similarity_margin(_semantic_scores(spark, sf), ["query_id"])
+    scores = P.candidate_cosines(_queries(spark, sf), _pages(spark, sf), word_shapes, FLOOR)[2]
+    m = P.similarity_margin(scores, ["query_id"])
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("top", "runner_up", "margin")])
 
 

@@ -201,14 +201,15 @@ def bm25_index(spark, sf):
     "ag19_bm25_rank",
     f"""WITH {_BM},
     q AS (SELECT item_id, unnest({TOKENS}) AS term FROM {{benchmark}})
-    SELECT item_id, doc_id, round(score, 6) AS score FROM (
+    SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
       SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / avg_len)))) AS score
-      FROM q JOIN tf USING (term) JOIN df USING (term), size GROUP BY 1, 2) WHERE score > 0""",
+      FROM q JOIN tf USING (term) JOIN df USING (term), size GROUP BY 1, 2) WHERE score > 0) WHERE rank <= 10""",
 )
 def bm25_rank(spark, sf):
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return BM.bm25_rank(docs(spark, sf), queries).select(
-        F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score")
+    return BM.bm25_top_k(docs(spark, sf), queries, 10).select(
+        F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), "rank"
     )
 
 

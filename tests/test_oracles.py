@@ -28,4 +28,4 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert entry.entry(spark).columns == ["item_id", "doc_id", "score"]
+    assert entry.entry(spark).columns == ["item_id", "doc_id", "score", "rank"]
