@@ -22,25 +22,24 @@ REDUP = r"^([a-zà-ÿ]+)-\1$"
 REDUP_AFFIXED = r"^(ber|me|di|ter|pe|pem|pen|peng)?([a-zà-ÿ]+)-\2(an|kan|nya)?$"
 
 
+_STRUCTURAL = (
+    r"^[A-Z]{2,}\z|^[0-9]+\z|[a-z][A-Z]|-\z|^-|^[a-z]-[A-Z]|-[0-9]|[0-9]-|^(?=.)(?i:x{0,3}(?:ix|iv|v?i{0,3}))\z"
+)
+
+
 def is_structural(token: Column, at_start: Column) -> Column:
     """Tokens that are no words to look up: names, codes, fragments, Roman page numbers."""
-    return (
-        token.rlike(r"^[A-Z]{2,}\z")
-        | token.rlike(r"^[0-9]+\z")
-        | (~at_start & token.rlike("^[A-Z]"))
-        | token.rlike("[a-z][A-Z]")
-        | F.endswith(token, F.lit("-"))
-        | F.startswith(token, F.lit("-"))
-        | token.rlike("^[a-z]-[A-Z]")
-        | token.rlike("-[0-9]|[0-9]-")
-        | ((F.length(token) > 0) & token.rlike(r"(?i)^x{0,3}(?:ix|iv|v?i{0,3})\z"))
-    )
+    return token.rlike(_STRUCTURAL) | (~at_start & token.rlike("^[A-Z]"))
 
 
 def skip_ranges(content: Column) -> Column:
     """Links, "et al.", (Author, Year) and Author & Author (Year)."""
+    # A link holds one of these; looking for its start costs far more than for them.
+    links = F.when(
+        content.rlike(r"(?i)https?:|www\.|\.[a-z]"), T.span_ranges(content, T.js(URL_WIDE, True))
+    ).otherwise(T.no_ranges())
     return F.concat(
-        T.span_ranges(content, T.js(URL_WIDE, True)),
+        links,
         T.span_ranges(content, T.js(ET_AL, True)),
         T.span_ranges(content, T.js(PAREN_CITATION)),
         T.span_ranges(content, T.js(AUTHOR_YEAR)),
@@ -121,45 +120,3 @@ def italic_words(content: Column, italic: Column) -> Column:
             )
         )
     )
-
-
-def join_probes(tokens: Column, code: Column) -> Column:
-    """Joined forms of neighbouring tokens that may be one word cut by a blank.
-
-    ``array<struct<joined, offsets>>``: two tokens of 4-16 letters with a side of at most
-    three, or three tokens of 5-18 letters around a single letter.
-    """
-    size = lambda t: F.length(t["token"])
-    touching = lambda a, b: (b["offset"] == a["end"] + 1) & a["gap"].isin(" ", "\t")
-    none = F.array().cast("array<struct<joined:string,offsets:array<int>>>")
-
-    def at(a: Column, b: Column, c: Column) -> Column:
-        both = size(a) + size(b)
-        all3 = both + size(c)
-        pair = (
-            touching(a, b)
-            & ~T.overlaps(a["offset"], b["end"], code)
-            & both.between(4, 16)
-            & ((size(a) <= 3) | (size(b) <= 3))
-        )
-        triple = touching(b, c) & all3.between(5, 18) & (size(b) == 1)
-        two = F.struct(
-            F.lower(F.concat(a["token"], b["token"])).alias("joined"),
-            F.array(a["offset"], b["offset"]).alias("offsets"),
-        )
-        three = F.struct(
-            F.lower(F.concat(a["token"], b["token"], c["token"])).alias("joined"),
-            F.array(a["offset"], b["offset"], c["offset"]).alias("offsets"),
-        )
-        return F.when(
-            pair, F.array_compact(F.array(two, F.when(triple, three)))
-        ).otherwise(none)
-
-    return T.let(
-        tokens,
-        lambda t: F.flatten(
-            F.transform(
-                t, lambda a, i: F.coalesce(at(a, F.get(t, i + 1), F.get(t, i + 2)), none)
-            )
-        ),
-    )

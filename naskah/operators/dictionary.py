@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from naskah.constants import PREFIX_RULES, SUFFIXES
 from naskah.functions import similarity as S
 from naskah.functions import text as T
 from naskah.functions import words as W
+from naskah.operators.words import word_table
+from naskah.session import materialize
 
 MAX_STEPS = 32
 _RULES = [(re.compile(p), r) for p, r in PREFIX_RULES] + [
@@ -20,8 +23,14 @@ _RULES = [(re.compile(p), r) for p, r in PREFIX_RULES] + [
 ]
 
 
+#: Matches every word that some rule changes; most words have no affix at all.
+_AFFIXED = re.compile("|".join(f"(?:{p.pattern})" for p, _ in _RULES))
+
+
 def affix_stems(word: str) -> list[str]:
     """Stems of a word, breadth first, in the order of the rules."""
+    if not _AFFIXED.search(word):
+        return []
     order = {word: None}
     todo = [word]
     for step in range(MAX_STEPS):
@@ -155,49 +164,74 @@ def lookup_words(
     )
 
 
-def within_budget(words: DataFrame, verdicts: DataFrame, budget: int) -> DataFrame:
+PAGES_A_BLOCK = 64
+
+
+def first_of_job(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each job by ``page_number, offset, word``.
+
+    Two levels of running counts: rows per block of pages, summed over the blocks before; only
+    blocks that begin within the first ``n`` rows are numbered, each by itself, so no task orders
+    the rows of a job.
+    """
+    block = F.floor(F.col("page_number") / PAGES_A_BLOCK)
+    placed = rows.withColumn("block", block)
+    earlier = Window.partitionBy("job_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = (
+        placed.groupBy("job_id", "block").agg(F.count("*").alias("size"))
+        .withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+        .filter(F.col("before") < n)
+        .select("job_id", "block", "before")
+    )
+    order = Window.partitionBy("job_id", "block").orderBy("page_number", "offset", "word")
+    return (
+        placed.join(begins, ["job_id", "block"])
+        .withColumn("r", F.row_number().over(order))
+        .filter(F.col("before") + F.col("r") <= n)
+        .select(*rows.columns)
+    )
+
+
+def within_budget(candidates: DataFrame, verdicts: DataFrame, budget: int) -> DataFrame:
     """The first ``budget`` unresolved words per job in page order; 0 means all."""
     open_words = (
-        words.join(verdicts.filter("source = 'unverified'").select("word"), "word", "left_semi")
+        candidates.join(verdicts.filter("source = 'unverified'").select("word"), "word", "left_semi")
         .groupBy("job_id", "word")
         .agg(F.min(F.struct("page_number", "offset")).alias("at"))
         .select("job_id", "word", "at.page_number", "at.offset")
     )
-    if budget <= 0:
-        return open_words
-    order = Window.partitionBy("job_id").orderBy("page_number", "offset", "word")
-    return open_words.withColumn("r", F.row_number().over(order)).filter(
-        F.col("r") <= budget
-    ).drop("r")
+    return open_words if budget <= 0 else first_of_job(open_words, budget)
 
 
-def resolve_external(
-    words: DataFrame, verdicts: DataFrame, external: DataFrame, budget: int
-) -> DataFrame:
-    """Verdicts per job and word after asking ``external`` (``word, found``) within budget."""
-    asked = within_budget(words, verdicts, budget).select("job_id", "word")
-    answered = asked.join(external.groupBy("word").agg(F.max("found").alias("found")), "word")
-    per_job = words.select("job_id", "word").distinct().join(verdicts, "word")
-    found = F.col("found")
-    new = found.isNotNull()
-    return per_job.join(answered, ["job_id", "word"], "left").select(
-        "job_id", "word",
-        F.coalesce(found, F.col("known")).alias("known"),
+def resolve_external(candidates: DataFrame, asked: DataFrame, external: DataFrame) -> DataFrame:
+    """``candidates`` (with verdict columns) after asking ``external`` (``word, found``) for ``asked``.
+
+    An answer holds for the whole job. Its tier is ``daring`` where it was asked and ``local``
+    afterwards, when it comes from the stored answers. Words without an answer stay unverified.
+    """
+    answers = external.groupBy("word").agg(F.max("found").alias("found"))
+    answered = asked.join(answers, "word").select(
+        "job_id", "word", "found", F.struct("page_number", "offset").alias("asked_at")
+    )
+    new = F.col("found").isNotNull()
+    here = F.struct("page_number", "offset") == F.col("asked_at")
+    rest = [c for c in candidates.columns if c not in ("known", "database_only", "is_english", "source", "tier")]
+    return candidates.join(answered, ["job_id", "word"], "left").select(
+        *rest,
+        F.coalesce("found", "known").alias("known"),
         F.when(new, False).otherwise(F.col("database_only")).alias("database_only"),
         F.when(new, False).otherwise(F.col("is_english")).alias("is_english"),
         F.when(new, "kbbi-online").otherwise(F.col("source")).alias("source"),
-        F.when(new, "daring").otherwise(F.col("tier")).alias("tier"),
+        F.when(new & here, "daring").when(new, "local").otherwise(F.col("tier")).alias("tier"),
     )
 
 
-def proper_nouns(pages: DataFrame) -> DataFrame:
+def proper_nouns(tokens: DataFrame) -> DataFrame:
     """Words written with a capital at least twice and never in lower case, per job."""
     t = F.col("token")
-    tokens = pages.select(
-        "job_id", F.explode(F.regexp_extract_all("content", F.lit(W.TOKEN), F.lit(0))).alias("token")
-    ).filter(F.length(t) >= 3)
     return (
-        tokens.groupBy("job_id", F.lower(t).alias("word"))
+        tokens.filter(F.length(t) >= 3)
+        .groupBy("job_id", F.lower(t).alias("word"))
         .agg(
             F.count_if(t.rlike(r"^[A-Z][a-zà-ÿ]+\z")).alias("capital"),
             F.count_if(t.rlike(r"^[a-zà-ÿ]+\z")).alias("lower"),
@@ -207,14 +241,16 @@ def proper_nouns(pages: DataFrame) -> DataFrame:
     )
 
 
-def fragment_probes(pages: DataFrame) -> DataFrame:
+def fragment_probes(tokens: DataFrame) -> DataFrame:
     """``job_id, page_number, joined, offsets`` of neighbouring tokens that may be one word."""
-    return pages.select(
-        "job_id", "page_number",
-        F.explode(
-            W.join_probes(W.token_spans(F.col("content")), F.col("code_ranges"))
-        ).alias("p"),
-    ).select("job_id", "page_number", "p.joined", "p.offsets")
+    two = F.struct(F.lower("pair").alias("joined"), F.array("offset", "second").alias("offsets"))
+    three = F.struct(F.lower("triple").alias("joined"), F.array("offset", "second", "third").alias("offsets"))
+    both = F.array_compact(F.array(two, F.when(F.col("triple").isNotNull(), three)))
+    return (
+        tokens.filter(F.col("pair").isNotNull())
+        .select("job_id", "page_number", F.explode(both).alias("p"))
+        .select("job_id", "page_number", "p.joined", "p.offsets")
+    )
 
 
 def known_fragments(probes: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -225,36 +261,16 @@ def known_fragments(probes: DataFrame, verdicts: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def page_words(pages: DataFrame) -> DataFrame:
-    """Tokens left after the exclusions that a page decides alone.
+def page_words(tokens: DataFrame) -> DataFrame:
+    """Tokens of a ``word_table`` left after the exclusions that a page decides alone.
 
-    Pages need ``content, code_ranges, italic_ranges``. Excluded are links, citations,
-    code, reduplications with blanks, structural tokens, one-letter words and words set
-    in italics on the page.
+    Excluded are links, citations, code, reduplications with blanks, structural tokens,
+    one-letter words and words set in italics on the page.
     """
-    c = F.col("content")
-    facts = F.struct(
-        F.concat(F.col("code_ranges"), W.skip_ranges(c)).alias("skip"),
-        W.redup_offsets(c).alias("redup"),
-        W.sentence_starts(c).alias("starts"),
-        W.italic_words(c, F.col("italic_ranges")).alias("italic"),
-    )
-
-    def kept(f: Column) -> Column:
-        return F.filter(
-            W.token_spans(c),
-            lambda t: (F.length(t["token"]) >= 2)
-            & ~W.is_structural(t["token"], F.array_contains(f["starts"], t["offset"]))
-            & ~T.overlaps(t["offset"], t["end"], f["skip"])
-            & ~F.array_contains(f["redup"], t["offset"])
-            & ~F.array_contains(f["italic"], F.lower(t["token"])),
-        )
-
-    return pages.select(
-        "job_id", "page_number", F.explode(T.let(facts, kept)).alias("t")
-    ).select(
-        "job_id", "page_number", "t.offset", "t.token", F.lower("t.token").alias("word")
-    )
+    t = F.col("token")
+    return tokens.filter(
+        (F.length(t) >= 2) & ~F.col("skipped") & ~F.col("italic") & ~W.is_structural(t, F.col("at_start"))
+    ).select("job_id", "page_number", "offset", "token", F.lower(t).alias("word"))
 
 
 def first_occurrence(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -274,11 +290,41 @@ def word_candidates(words: DataFrame, fragments: DataFrame, nouns: DataFrame) ->
     return first_occurrence(words, ["job_id", "page_number", "word"], ["offset"])
 
 
-def tier_counts(candidates: DataFrame, verdicts: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Candidates per tier and job; a word on three pages counts three times."""
-    on = keys or ["word"]
+class WordCheck(NamedTuple):
+    tokens: DataFrame
+    verdicts: DataFrame  # one row per distinct word, without external answers
+    fragments: DataFrame
+    candidates: DataFrame  # the words to judge, with their verdict
+
+
+def check_words(
+    pages: DataFrame, dictionary: DataFrame, vocabulary: DataFrame, answers: DataFrame | None = None,
+    english: DataFrame | None = None,
+) -> WordCheck:
+    """All words of ``pages`` (``content, code_ranges, italic_ranges``) against the local tiers.
+
+    The texts are cut once; tokens, verdicts and candidates are written, as several tables
+    are made of each.
+    """
+    tokens = materialize(word_table(pages), "tokens")
+    words, probes = page_words(tokens), fragment_probes(tokens)
+    asked = words.select("word").unionByName(probes.select(F.col("joined").alias("word")))
+    verdicts = materialize(lookup_words(asked, dictionary, vocabulary, answers, english), "verdicts")
+    fragments = known_fragments(probes, verdicts)
+    candidates = word_candidates(words, fragments, proper_nouns(tokens)).join(verdicts, "word")
+    return WordCheck(tokens, verdicts, fragments, materialize(candidates, "candidates"))
+
+
+def with_external(check: WordCheck, external: DataFrame, budget: int) -> DataFrame:
+    """The candidates of ``check`` after asking ``external`` within the budget of each job."""
+    asked = within_budget(check.candidates.select("job_id", "word", "page_number", "offset"), check.verdicts, budget)
+    return resolve_external(check.candidates, asked, external)
+
+
+def tier_counts(candidates: DataFrame, *by: str) -> DataFrame:
+    """Candidates per tier; a word on three pages counts three times. Without ``by`` one row of totals."""
     tier = F.col("tier")
-    return candidates.join(verdicts, on).groupBy("job_id").agg(
+    return candidates.groupBy(*by).agg(
         *[F.count_if(tier == t).alias(t) for t in ("local", "daring", "unverified")],
         F.count("*").alias("total"),
     )
@@ -307,8 +353,11 @@ def suggest(words: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.explode(F.transform(S.probe_keys(w, max_edits, _edits_reach), block)).alias("piece"),
     ).filter(F.length("entry").between(2, 22))
     near = F.levenshtein(w, F.col("entry"), 2)
+    # Pieces are few bytes but much work, so their number of partitions is not left to size.
+    spark = words.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return (
-        asked.join(offered, "piece")
+        asked.repartition(tasks, "piece").join(offered, "piece")
         .withColumn("distance", near)
         .filter((F.col("distance") >= 0) & (F.col("distance") <= max_edits(F.length(w))))
         .groupBy("word")
@@ -317,12 +366,9 @@ def suggest(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
-def unknown_words(
-    candidates: DataFrame, verdicts: DataFrame, suggestions: DataFrame | None = None,
-    keys: list[str] | None = None,
-) -> DataFrame:
-    """Findings for words that no tier knows."""
-    out = candidates.join(verdicts.filter("NOT known"), keys or ["word"])
+def unknown_words(candidates: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:
+    """Findings for candidates that no tier knows."""
+    out = candidates.filter("NOT known")
     if suggestions is not None:
         out = out.join(suggestions.select("word", "suggestion"), "word", "left")
     else:

@@ -209,17 +209,23 @@ VIEWS: dict[str, str] = {
     "plant_words": """
         SELECT doc_id, source AS job_id, @words(text)@ AS word FROM {documents}
     """,
-    "plant_dict": "SELECT word FROM {plant_words} WHERE length(word) >= 2 GROUP BY word HAVING count(*) >= 20",
+    "plant_counts": "SELECT word, count(*) AS n FROM {plant_words} GROUP BY word",
+    "plant_dict": "SELECT word FROM {plant_counts} WHERE length(word) >= 2 AND n >= 20",
     "plant_vocab": """
         SELECT word, CASE length(word) % 6 WHEN 0 THEN 'indonesian' WHEN 1 THEN 'english' WHEN 2 THEN 'tech'
                WHEN 3 THEN 'brand' WHEN 4 THEN 'ignore' ELSE 'typo' END AS classification
-        FROM {plant_words} WHERE length(word) >= 4 GROUP BY word HAVING count(*) BETWEEN 17 AND 22
+        FROM {plant_counts} WHERE length(word) >= 4 AND n BETWEEN 17 AND 22
     """,
-    "plant_english": "SELECT word FROM {plant_words} WHERE length(word) >= 4 GROUP BY word HAVING count(*) BETWEEN 10 AND 13",
+    "plant_english": "SELECT word FROM {plant_counts} WHERE length(word) >= 4 AND n BETWEEN 10 AND 13",
     "plant_answers": """
         SELECT word, length(word) % 2 = 0 AS found,
                CASE WHEN length(word) % 5 = 0 THEN TIMESTAMP '2024-01-31 23:44:59' ELSE TIMESTAMP '2024-01-31 23:45:00' END AS fetched_at
-        FROM {plant_words} WHERE length(word) >= 3 GROUP BY word HAVING count(*) BETWEEN 6 AND 11
+        FROM {plant_counts} WHERE length(word) >= 3 AND n BETWEEN 6 AND 11
+    """,
+    # What the online dictionary would answer; some words get no answer.
+    "plant_external": """
+        SELECT word, length(word) % 3 = 0 AS found FROM {plant_counts}
+        WHERE length(word) >= 3 AND length(word) % 4 <> 1 AND n <= 16
     """,
     # Calls: outcome by event type, host and provider by user.
     "call_log": """
@@ -379,12 +385,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(n)) if n else df
 
 
-def view(spark: SparkSession, sf_dir: str, view_name: str) -> DataFrame:
-    """A derived view, or a given table when there is no view of that name."""
+def view(spark: SparkSession, sf_dir: str, view_name: str, **given: DataFrame) -> DataFrame:
+    """A derived view, or a given table when there is no view of that name.
+
+    ``given`` holds views that the caller has already made, for several others on top of one.
+    """
+    if view_name in given:
+        return given[view_name]
     if view_name not in VIEWS:
         return table(spark, sf_dir, view_name)
     sql = re.sub(r"@words\((\w+)\)@", r"explode(regexp_extract_all(lower(\1), '[a-z]+', 0))", VIEWS[view_name])
-    df = spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _needs(sql)})
+    df = spark.sql(sql, **{n: view(spark, sf_dir, n, **given) for n in _needs(sql)})
     return spread(df) if view_name in TEXT_VIEWS else df
 
 

@@ -9,9 +9,11 @@ from naskah.functions import text as T
 from naskah.functions import words as W
 from naskah.operators import dictionary as D
 from naskah.operators import pages as PG
+from naskah.operators.words import word_table
 from naskah.plans.fixtures import table, view
 from naskah.plans.q_rules import ranges_sql
 from naskah.plans.registry import query, spans_sql
+from naskah.session import materialize
 
 DOCS = "{documents}"
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -120,7 +122,7 @@ NOUNS = """
 
 @query("jn11_proper_nouns", f"WITH {DP}, t AS MATERIALIZED ({TOK}), {NOUNS} SELECT job_id, word FROM nouns")
 def proper_nouns(spark, sf):
-    return D.proper_nouns(doc_pages(spark, sf))
+    return D.proper_nouns(word_table(doc_pages(spark, sf)))
 
 
 PROBES = """
@@ -139,7 +141,7 @@ PROBES = """
     f"""WITH {DP}, t AS MATERIALIZED ({TOK}), {PROBES} SELECT job_id, page_number, joined, offs[1] AS "offset", CAST(len(offs) AS INTEGER) AS parts FROM probes""",
 )
 def adjacent_tokens(spark, sf):
-    return D.fragment_probes(doc_pages(spark, sf)).select(
+    return D.fragment_probes(word_table(doc_pages(spark, sf))).select(
         "job_id", "page_number", "joined", F.get("offsets", F.lit(0)).alias("offset"), F.size("offsets").alias("parts")
     )
 
@@ -210,10 +212,11 @@ def lookup_sql(words: str) -> str:
 
 
 def lexicons(spark, sf):
-    answers = D.fresh_answers(view(spark, sf, "plant_answers"), F.lit("2024-02-01 00:00:00").cast("timestamp"), 900)
+    counts = materialize(view(spark, sf, "plant_counts"), "word-counts")
+    held = lambda name: view(spark, sf, name, plant_counts=counts)
+    answers = D.fresh_answers(held("plant_answers"), F.lit("2024-02-01 00:00:00").cast("timestamp"), 900)
     return dict(
-        dictionary=view(spark, sf, "plant_dict"), vocabulary=view(spark, sf, "plant_vocab"),
-        answers=answers, english=view(spark, sf, "plant_english"),
+        dictionary=held("plant_dict"), vocabulary=held("plant_vocab"), answers=answers, english=held("plant_english"),
     )
 
 
@@ -256,65 +259,117 @@ CHECK = f"""{CANDS}, {lookup_sql(ALL_WORDS)},
 
 
 def word_check(spark, sf):
-    """Candidates and verdicts. Tables that feed several branches are written once."""
-    from naskah.session import materialize
-
-    pages = doc_pages(spark, sf)
-    probes = materialize(D.fragment_probes(pages), "probes")
-    page_words = materialize(D.page_words(pages), "page-words")
-    words = page_words.select("word").unionByName(probes.select(F.col("joined").alias("word")))
-    verdicts = materialize(D.lookup_words(words, **lexicons(spark, sf)), "verdicts")
-    candidates = D.word_candidates(
-        page_words, D.known_fragments(probes, verdicts), D.proper_nouns(pages)
-    )
-    return candidates, verdicts
+    return D.check_words(doc_pages(spark, sf), **lexicons(spark, sf))
+
+
+def checked(spark, sf):
+    """(word check, its dictionary, external answers)."""
+    lists = lexicons(spark, sf)
+    return D.check_words(doc_pages(spark, sf), **lists), lists["dictionary"], view(spark, sf, "plant_external")
 
 
 @query("jn10_known_fragments", f"WITH RECURSIVE {CHECK} SELECT job_id, page_number, CAST(o AS INTEGER) AS \"offset\" FROM frag")
 def known_fragments(spark, sf):
-    pages = doc_pages(spark, sf)
-    probes = D.fragment_probes(pages)
+    probes = D.fragment_probes(word_table(doc_pages(spark, sf)))
     verdicts = D.lookup_words(probes.select(F.col("joined").alias("word")), **lexicons(spark, sf))
     return D.known_fragments(probes, verdicts)
 
 
 @query("wn4_first_occurrence", f"WITH RECURSIVE {CHECK} SELECT job_id, page_number, word, s AS \"offset\", txt AS token FROM cands")
 def first_occurrence(spark, sf):
-    return word_check(spark, sf)[0].select("job_id", "page_number", "word", "offset", "token")
+    return word_check(spark, sf).candidates.select("job_id", "page_number", "word", "offset", "token")
 
 
-@query(
-    "ag7_tier_counts",
-    f"""WITH RECURSIVE {CHECK} SELECT job_id, CAST(count(*) FILTER (WHERE tier = 'local') AS BIGINT) AS local, CAST(0 AS BIGINT) AS daring,
-        CAST(count(*) FILTER (WHERE tier = 'unverified') AS BIGINT) AS unverified, CAST(count(*) AS BIGINT) AS total
-        FROM cands JOIN verdicts USING (word) GROUP BY 1""",
-)
+OPEN = """SELECT job_id, word, page_number, s, row_number() OVER (PARTITION BY job_id ORDER BY page_number, s, word) AS r FROM (
+          SELECT *, row_number() OVER (PARTITION BY job_id, word ORDER BY page_number, s) AS k FROM cands JOIN verdicts USING (word) WHERE source = 'unverified') WHERE k = 1"""
+BUDGET = 300
+# Candidates after the external answers that the budget of their job allows.
+ANSWERED = f"""{CHECK}, ow AS MATERIALIZED ({OPEN}),
+  ans AS (SELECT ow.*, found FROM ow JOIN {{plant_external}} USING (word) WHERE r <= {BUDGET}),
+  rc AS MATERIALIZED (SELECT c.job_id, c.page_number, c.s, c.txt, c.word, coalesce(a.found, v.known) AS known,
+      a.found IS NULL AND v.database_only AS database_only, CASE WHEN a.found IS NULL THEN v.source ELSE 'kbbi-online' END AS source,
+      CASE WHEN a.found IS NULL THEN v.tier WHEN a.page_number = c.page_number AND a.s = c.s THEN 'daring' ELSE 'local' END AS tier
+    FROM cands c JOIN verdicts v USING (word) LEFT JOIN ans a ON a.job_id = c.job_id AND a.word = c.word)"""
+
+
+def answered_words(spark, sf):
+    return D.with_external(word_check(spark, sf), view(spark, sf, "plant_external"), BUDGET)
+
+
+_TIERS = ", ".join(f"CAST(count(*) FILTER (WHERE tier = '{t}') AS BIGINT) AS {t}" for t in ("local", "daring", "unverified"))
+
+
+@query("ag7_tier_counts", f"WITH RECURSIVE {ANSWERED} SELECT job_id, {_TIERS}, CAST(count(*) AS BIGINT) AS total FROM rc GROUP BY 1")
 def tier_counts(spark, sf):
-    return D.tier_counts(*word_check(spark, sf))
+    return D.tier_counts(answered_words(spark, sf), "job_id")
+
+
+@query("ag7_tier_totals", f"WITH RECURSIVE {ANSWERED} SELECT {_TIERS}, CAST(count(*) AS BIGINT) AS total FROM rc")
+def tier_totals(spark, sf):
+    """Over all jobs of the corpus."""
+    return D.tier_counts(answered_words(spark, sf))
+
+
+SUGGESTED = """sug AS (SELECT word, suggestion FROM (
+    SELECT w.word, d.word AS suggestion, row_number() OVER (PARTITION BY w.word ORDER BY levenshtein(ascii_word, d.word), d.word) AS rn
+    FROM (SELECT DISTINCT word, regexp_replace(word, '[^\\x00-\\x7F]', '#', 'g') AS ascii_word FROM rc WHERE NOT known) w
+    JOIN {plant_dict} d ON left(d.word, 1) = left(w.word, 1) AND abs(length(d.word) - length(w.word)) <= 2
+    WHERE length(w.word) BETWEEN 3 AND 20 AND levenshtein(ascii_word, d.word) <= CASE WHEN length(w.word) <= 5 THEN 1 ELSE 2 END) WHERE rn = 1)"""
 
 
 @query(
     "jn8_unknown_words",
-    f"""WITH RECURSIVE {CHECK} SELECT job_id, page_number, s AS "offset", CAST(length(txt) AS INTEGER) AS length, txt AS token, word,
+    f"""WITH RECURSIVE {ANSWERED}, {SUGGESTED} SELECT job_id, page_number, s AS "offset", CAST(length(txt) AS INTEGER) AS length, txt AS token, word,
         CASE WHEN database_only THEN 'kbbi.unknown-word.database-only' ELSE 'kbbi.unknown-word' END AS rule_id,
         CASE WHEN source = 'kbbi-online' THEN 'kbbi-daring' ELSE 'basis-data' END AS verification_source,
         CASE WHEN source = 'kbbi-online' THEN 'Kata "' || txt || '" tidak ditemukan di basis data lokal maupun KBBI daring — mungkin istilah teknis/asing, nama, atau salah ketik.'
         ELSE 'Kata "' || txt || '" belum dapat diverifikasi ke KBBI daring (sumber sedang sibuk atau tidak menjawab). Sejauh ini hanya diperiksa di basis data lokal — mungkin istilah teknis/asing, nama, atau salah ketik.' END AS message,
-        CAST(NULL AS VARCHAR) AS suggestion
-        FROM cands JOIN verdicts USING (word) WHERE NOT known""",
+        suggestion
+        FROM rc LEFT JOIN sug USING (word) WHERE NOT known""",
 )
 def unknown_words(spark, sf):
-    return D.unknown_words(*word_check(spark, sf))
+    check, dictionary, external = checked(spark, sf)
+    unknown = materialize(D.with_external(check, external, BUDGET).filter("NOT known"), "unknown")
+    return D.unknown_words(unknown, D.suggest(unknown, dictionary))
 
 
 @query(
     "wn7_within_budget",
-    f"""WITH RECURSIVE {CHECK} SELECT job_id, word, page_number, s AS "offset" FROM (
-        SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page_number, s, word) AS r FROM (
-          SELECT *, row_number() OVER (PARTITION BY job_id, word ORDER BY page_number, s) AS k FROM cands JOIN verdicts USING (word) WHERE source = 'unverified') WHERE k = 1) WHERE r <= 300""",
+    f"WITH RECURSIVE {CHECK}, ow AS ({OPEN}) SELECT job_id, word, page_number, s AS \"offset\" FROM ow WHERE r <= 300",
 )
 def within_budget(spark, sf):
-    return D.within_budget(*word_check(spark, sf), 300)
+    check = word_check(spark, sf)
+    return D.within_budget(check.candidates, check.verdicts, 300)
+
+
+@query(
+    "wn7_resolve_external",
+    f"""WITH RECURSIVE {CHECK}, ow AS MATERIALIZED ({OPEN}),
+      b(budget) AS (VALUES (0), (1), (50)),
+      ans AS (SELECT budget, ow.*, found FROM b JOIN ow ON budget = 0 OR r <= budget JOIN {{plant_external}} USING (word))
+      SELECT budget, c.job_id, CAST(count(*) FILTER (WHERE c.page_number = a.page_number AND c.s = a.s) AS BIGINT) AS asked,
+        CAST(count(*) FILTER (WHERE c.page_number <> a.page_number OR c.s <> a.s) AS BIGINT) AS stored,
+        CAST(count(*) FILTER (WHERE found) AS BIGINT) AS found, CAST(sum(c.page_number * 1000 + c.s) AS BIGINT) AS places
+      FROM ans a JOIN cands c ON c.job_id = a.job_id AND c.word = a.word GROUP BY 1, 2""",
+)
+def resolve_external(spark, sf):
+    """Answers and stored answers of each job with no, the smallest and a larger budget."""
+    check = word_check(spark, sf)
+    before = check.candidates.filter("source = 'unverified'").select("job_id", "page_number", "offset")
+    out = None
+    for budget in (0, 1, 50):
+        part = (
+            D.with_external(check, view(spark, sf, "plant_external"), budget)
+            .join(before, ["job_id", "page_number", "offset"], "left_semi")
+            .filter("source = 'kbbi-online'")
+            .groupBy(F.lit(budget).alias("budget"), "job_id")
+            .agg(
+                F.count_if(F.col("tier") == "daring").alias("asked"), F.count_if(F.col("tier") == "local").alias("stored"),
+                F.count_if("known").alias("found"), F.sum(F.col("page_number") * 1000 + F.col("offset")).alias("places"),
+            )
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 UNKNOWN = "(SELECT DISTINCT word FROM {plant_words} EXCEPT SELECT word FROM {plant_dict})"
