@@ -11,10 +11,12 @@ one shared list is always left.
 
 Postings travel as packed blocks per bucket; a bucket keeps the shingles of more than one class.
 Large groups of near copies would give all pairs of the group. Before pairs are formed, rounds of
-single links contract them: in every list each class that is not yet in the component of the
-list's centre is matched with it, the best match of each class is verified, and verified links
-merge components. Afterwards pairs are formed only between classes of different components, which
-is all that components need; no pair that could still join two components is left out.
+single links contract them: every list names ``CENTRES`` classes by as many hashes; each class that is not
+yet in the component of a centre is matched with it, the ``NEAR`` best matches of a class, and of a
+component with a centre, are verified, and verified links merge components. Rounds end when nothing
+links, or after ``ROUNDS``. Afterwards pairs are formed only between classes of different
+components, which is all that components need; no pair that could still join two components is
+left out, however the rounds went.
 
 Verification is exact on the shingle hashes (64 bits): a parity bitmap, whose difference never
 exceeds that of the sets, discards most false candidates before the sets are read.
@@ -46,7 +48,9 @@ HOT_SHINGLES = 1 << 16  # shingles with a place in the order; all others come be
 BITS = 1024
 BUCKET_POSTINGS = 250_000
 BROADCAST_ROWS = 1_000_000
-ROUNDS = 3
+ROUNDS = 6
+CENTRES = 4
+NEAR = 4
 _U64 = np.uint64
 
 
@@ -106,7 +110,7 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
                     bits.append(_bitmap(x) if len(x) else None)
                     stretch.append(x)
                     held += len(x)
-                    if held > 2_000_000:
+                    if held > 1_000_000:
                         yield common()
                         stretch, held = [], 0
                 yield pa.RecordBatch.from_arrays(
@@ -172,7 +176,7 @@ def _postings(docs: DataFrame, text: str, hot: np.ndarray, hot_counts: np.ndarra
                 info = (min(len(x), LARGEST) << 8 | (best - 1) << 4 | level - 1).astype(np.uint32)
                 parts.append((tokens, np.full(len(tokens), sig, np.int64), info, is_hot))
                 held += len(tokens)
-                if held > 500_000:
+                if held > 250_000:
                     yield flush()
                     parts, seen, held = [], set(), 0
         if parts:
@@ -292,6 +296,24 @@ def _merge(labels: DataFrame, found: DataFrame) -> DataFrame:
     return every.join(hook, every.component == hook.c, "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
+def _nearest_centres(lists: DataFrame, turn: int) -> DataFrame:
+    """(a, b): classes of open lists with centres of other components, at most ``NEAR`` of each class
+    and of each component with one centre, those with most shared lists first."""
+    ranked = [F.struct(F.xxhash64("sig", F.lit(turn * CENTRES + i)).alias("rank"), "sig", "component") for i in range(CENTRES)]
+    centres = lists.groupBy("token", "k").agg(F.array(*[F.min(r) for r in ranked]).alias("cs")).select(
+        "token", "k",
+        F.explode(F.array_distinct(F.transform("cs", lambda c: F.struct(c["sig"].alias("sig"), c["component"].alias("component"))))).alias("c"),
+    )
+    near = (
+        lists.join(centres, ["token", "k"]).where("component <> c.component")
+        .groupBy("sig", "component", F.col("c.sig").alias("centre"), "best").count().where("count >= best")
+    )
+    for keys in (["sig"], ["component", "centre"]):
+        most = Window.partitionBy(*keys).orderBy(F.desc("count"), F.xxhash64("sig", "centre"))
+        near = near.withColumn("place", F.row_number().over(most)).where(F.col("place") <= NEAR)
+    return near.select(F.col("sig").alias("a"), F.col("centre").alias("b"))
+
+
 def _sized(n: Column) -> Column:
     """Size class: sets that can be linked are in equal or neighbouring classes."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
@@ -327,14 +349,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     lists = postings.where("level = 1").select("token", "sig", "best", _sized(F.col("n")).alias("k"))
     for turn in range(ROUNDS):
         open_rows = materialize(_open_lists(lists, labels, ["token", "k"]).select("token", "k", "sig", "best", "component"), "lists")
-        rank = F.xxhash64("sig", F.lit(turn))
-        centre = open_rows.groupBy("token", "k").agg(F.min(F.struct(rank.alias("rank"), "sig", "component")).alias("c"))
-        near = (
-            open_rows.join(centre, ["token", "k"]).where("component <> c.component")
-            .groupBy("sig", F.col("c.sig").alias("centre"), "best").count().where("count >= best")
-            .groupBy("sig").agg(F.max(F.struct("count", "centre")).alias("near"))
-        )
-        found = _verify(near.select(F.col("sig").alias("a"), F.col("near.centre").alias("b")), classes, sets, docs, key, text)
+        near = _nearest_centres(open_rows, turn)
+        found = _verify(near, classes, sets, docs, key, text)
         if found.isEmpty():
             break
         links.append(found)
