@@ -14,9 +14,10 @@ All ``LENGTH``-byte strings that occur more than once are found without comparin
    which it first appears as their common prefix. The expansion stops at LENGTH: boundaries without
    a value join suffixes with LENGTH bytes in common. A group of weight two or more is repeated.
 
-A name with more than ``HOT`` differing classes (a passage in very many documents) is not taken
-into one bin: its runs are named anew with longer k-byte strings, at last by the whole window,
-where every name has a single class.
+A bin is worked off in portions of whole names with about ``SORT_BYTES`` each, so that the arrays of
+a portion stay small however large the bin is. A name with more than ``HOT`` differing classes or
+``HOT_BYTES`` of them (a passage in very many documents) is not taken into a bin: its runs are named
+anew with longer k-byte strings, at last by the whole window, where every name has a single class.
 
 Equality of windows of one name is decided on bytes; names and equal runs are told by 64-bit
 hashes.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ from naskah.session import materialize
 LENGTH = 400
 NAMES = (160, 320, 384, 400)  # k by level
 HOT = 4000
+HOT_BYTES = 2 << 20
 BIN_BYTES = 3 << 20
+SORT_BYTES = 1 << 20
 BROADCAST_ROWS = 1_000_000
 SEPARATOR = 0xFF  # not a byte of UTF-8
 _U64 = np.uint64
@@ -201,14 +205,31 @@ def _ranges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[np.append(0, cut + 1)], x[np.append(cut, len(x) - 1)]
 
 
+def _portions(name: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Row numbers in portions of whole names with ``SORT_BYTES`` at most, or of one larger name."""
+    order = np.argsort(name, kind="stable")
+    first = np.flatnonzero(np.diff(name[order], prepend=name[order[:1]] - 1))
+    held = np.add.reduceat(sizes[order], first)
+    cuts, total = [], 0
+    for at, n in zip(first.tolist(), held.tolist()):
+        if total and total + n > SORT_BYTES:
+            cuts.append(at)
+            total = 0
+        total += n
+    return np.split(order, cuts)
+
+
 def _bin(group: pa.Table) -> pa.Table:
-    texts = [t.as_py() for t in group.column("text")]
+    texts, weights = group.column("text").combine_chunks(), group.column("weight").to_numpy()
     name, hull = group.column("name").to_numpy(), group.column("hull").to_numpy()
+    sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
     out: tuple[list, ...] = ([], [], [], [])
-    for i, starts in enumerate(repeated_starts(texts, group.column("weight").to_numpy())):
-        lo, hi = _ranges(starts)
-        for column, values in zip(out, (np.full(len(lo), name[i]), np.full(len(lo), hull[i]), lo, hi)):
-            column.append(values)
+    for rows in _portions(name, sizes):
+        found = repeated_starts([texts[i].as_py() for i in rows.tolist()], weights[rows])
+        for i, starts in zip(rows.tolist(), found):
+            lo, hi = _ranges(starts)
+            for column, values in zip(out, (np.full(len(lo), name[i]), np.full(len(lo), hull[i]), lo, hi)):
+                column.append(values)
     return pa.table({c: pa.array(np.concatenate(v).astype(np.int64)) for c, v in zip(("name", "hull", "lo", "hi"), out)})
 
 
@@ -255,7 +276,8 @@ def _repeated(items: DataFrame, level: int) -> DataFrame:
         texts.join(wanted, "item").select("text", "wanted").mapInArrow(_cut_texts, "name long, hull long, weight long, text binary"),
         "run-bytes",
     )
-    crowded = pieces.groupBy("name").count().where(F.col("count") > HOT).select("name")
+    sizes = pieces.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    crowded = sizes.where((F.col("n") > HOT) | (F.col("bytes") > HOT_BYTES)).select("name")
     crowded = materialize(crowded, "crowded-names")
     some = not crowded.isEmpty()
     cold = pieces.join(crowded, "name", "left_anti") if some else pieces
