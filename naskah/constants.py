@@ -83,22 +83,24 @@ mr mrs ms dr prof st mt sr jr e.g i.e cf vs etc al fig eq ref ch pp p bpk ibu sd
 dst dll hal mis tsb spt tgl no jl
 """.split()
 
-# Signals of a masthead or title page (all but the last three ignore case).
-FRONT_MATTER_NOCASE = [
-    r"\bE[\s-]?ISSN\b",
-    r"\bISSN\b",
-    r"\bISBN\b",
-    r"\bDOI\s*:?\s*10\.",
-    r"\bVol(?:ume)?\.?\s*\d+",
-    r"\bNo(?:mor)?\.?\s*\d+",
+# Signals of a masthead or title page, as (pattern, ignore case).
+FRONT_MATTER_SIGNALS = [
+    (r"\bE[\s-]?ISSN\b", True),
+    (r"\bISSN\b", True),
+    (r"\bISBN\b", True),
+    (r"\bDOI\s*:?\s*10\.", True),
+    (r"\bVol(?:ume)?\.?\s*\d+", True),
+    (r"\bNo(?:mor)?\.?\s*\d+", True),
+    (r"\b[\w.-]+@[\w.-]+\.[A-Za-z]{2,}\b", False),
+    (r"\bA\s*B\s*S\s*T\s*R\s*A\s*K\b", False),
+    (r"\bA\s*B\s*S\s*T\s*R\s*A\s*C\s*T\b", False),
 ]
-FRONT_MATTER_CASE = [
-    r"\b[\w.-]+@[\w.-]+\.[A-Za-z]{2,}\b",
-    r"\bA\s*B\s*S\s*T\s*R\s*A\s*K\b",
-    r"\bA\s*B\s*S\s*T\s*R\s*A\s*C\s*T\b",
+# Openers of the body text, tried in this order; case is ignored.
+BODY_OPENERS = [
+    r"P\s*E\s*N\s*D\s*A\s*H\s*U\s*L\s*U\s*A\s*N",
+    r"I\s*N\s*T\s*R\s*O\s*D\s*U\s*C\s*T\s*I\s*O\s*N",
+    r"L\s*a\s*t\s*a\s*r\s+B\s*e\s*l\s*a\s*k\s*a\s*n\s*g",
 ]
-# Openers of the body text, tried in this order.
-BODY_OPENERS = ["PENDAHULUAN", "INTRODUCTION", "LATAR BELAKANG"]
 
 BM25_K1, BM25_B = 1.2, 0.75
 WINDOW_SENTENCES, WINDOW_STRIDE = 3, 1

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from naskah.constants import (
-    ABBREVIATIONS, BODY_OPENERS, FRONT_MATTER_CASE, FRONT_MATTER_NOCASE, STOPWORDS,
+    ABBREVIATIONS, BODY_OPENERS, FRONT_MATTER_SIGNALS, STOPWORDS,
     WINDOW_SENTENCES, WINDOW_STRIDE,
 )
 from naskah.functions import text as T
@@ -37,17 +37,11 @@ def sentences(text: Column) -> Column:
     )
 
 
-def _letters_apart(words: str) -> str:
-    return r"\s+".join(r"\s*".join(w) for w in words.split(" "))
-
-
 def looks_like_front_matter(text: Column) -> Column:
     """At least two masthead signals."""
-    signals = [text.rlike(T.js(p, True)) for p in FRONT_MATTER_NOCASE]
-    signals += [text.rlike(T.js(p)) for p in FRONT_MATTER_CASE]
     total = F.lit(0)
-    for s in signals:
-        total = total + s.cast("int")
+    for pattern, ignore_case in FRONT_MATTER_SIGNALS:
+        total = total + text.rlike(T.js(pattern, ignore_case)).cast("int")
     return total >= 2
 
 
@@ -56,7 +50,7 @@ def strip_front_matter(text: Column) -> Column:
 
     def after(opener: str) -> Column:
         return T.let(
-            F.split(text, T.js(_letters_apart(opener), True), 2),
+            F.split(text, T.js(opener, True), 2),
             lambda p: F.when(F.size(p) == 2, T.strip(F.get(p, F.lit(1)))),
         )
 

@@ -38,6 +38,11 @@ def group_citations(cites: DataFrame) -> DataFrame:
     )
 
 
+def citation_members(cites: DataFrame) -> DataFrame:
+    """Every occurrence with the size of its group, in rows: a group may be of any size."""
+    return cites.join(group_citations(cites).select("job_id", "citation_key", "occurrences"), ["job_id", "citation_key"])
+
+
 def unique_citations(cites: DataFrame) -> DataFrame:
     """One row per key with its first page and the context found there."""
     return cites.groupBy("job_id", "citation_key").agg(

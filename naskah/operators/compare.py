@@ -75,6 +75,15 @@ def group_by_rule(buckets: DataFrame) -> DataFrame:
     ).withColumn("weight", F.greatest("before_total", "after_total"))
 
 
+def rule_members(buckets: DataFrame) -> DataFrame:
+    """Every bucket with the weight of its rule group, in rows."""
+    keys = ["pair", "bucket", "category", "rule_id"]
+    groups = group_by_rule(buckets).select(*keys, "weight")
+    named = [F.col(f"g.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    on = named[0] & named[1] & named[2] & named[3]
+    return buckets.alias("b").join(groups.alias("g"), on).select("b.*", "g.weight")
+
+
 def scoreboard(findings: DataFrame, jobs: DataFrame) -> DataFrame:
     """``pair, metric, before, after, delta, pct_change`` for totals and the score.
 

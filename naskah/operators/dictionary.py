@@ -299,15 +299,17 @@ class WordCheck(NamedTuple):
 
 def check_words(
     pages: DataFrame, dictionary: DataFrame, vocabulary: DataFrame, answers: DataFrame | None = None,
-    english: DataFrame | None = None,
+    english: DataFrame | None = None, body: DataFrame | None = None,
 ) -> WordCheck:
     """All words of ``pages`` (``content, code_ranges, italic_ranges``) against the local tiers.
 
+    ``body`` (``job_id, page_number``) names the pages whose words are judged; names count on all.
     The texts are cut once; tokens, verdicts and candidates are written, as several tables
     are made of each.
     """
     tokens = materialize(word_table(pages), "tokens")
-    words, probes = page_words(tokens), fragment_probes(tokens)
+    judged = tokens if body is None else tokens.join(body, ["job_id", "page_number"], "left_semi")
+    words, probes = page_words(judged), fragment_probes(judged)
     asked = words.select("word").unionByName(probes.select(F.col("joined").alias("word")))
     verdicts = materialize(lookup_words(asked, dictionary, vocabulary, answers, english), "verdicts")
     fragments = known_fragments(probes, verdicts)

@@ -114,6 +114,7 @@ def trace_summary(traces: DataFrame, cites: DataFrame) -> DataFrame:
 # Order of statuses in reports.
 STATUS_ORDER = ["verified", "needs-review", "no-source", "not-found"]
 PASSAGE_ORDER = ["matched", "no-match", "no-source"]
+CATEGORY_ORDER = ["kbbi", "eyd"]
 
 
 def filter_traces(traces: DataFrame, status: str = "all", search: str = "") -> DataFrame:
@@ -145,6 +146,17 @@ def sort_traces(traces: DataFrame, key: str = "page") -> DataFrame:
     return traces.orderBy(orders[key], "thesis_page", "citation_key")
 
 
+def sort_passages(results: DataFrame) -> DataFrame:
+    """Matched passages by falling confidence, then those without match, then without source."""
+    rank = rank_of(F.col("status"), PASSAGE_ORDER)
+    return results.orderBy(rank, F.when(F.col("status") == "matched", -F.col("confidence")), "query_id")
+
+
+def sort_findings(findings: DataFrame) -> DataFrame:
+    """By category (words before spelling rules), page and place."""
+    return findings.orderBy(rank_of(F.col("category"), CATEGORY_ORDER), "page_number", "offset", "rule_id")
+
+
 def history_counts(jobs: DataFrame, cites: DataFrame, matches: DataFrame, passages: DataFrame) -> DataFrame:
     """Citations, matched keys and passages per job, 0 where there are none."""
     out = jobs
@@ -235,6 +247,22 @@ def list_batches(batches: DataFrame, sources: DataFrame, refs: DataFrame) -> Dat
     )
 
 
+def list_passages(passages: DataFrame, cites: DataFrame, sources: DataFrame, refs: DataFrame) -> DataFrame:
+    """Passages with citation, source file and reference label, to be read by page.
+
+    Passages of a citation or source that is gone are left out; the label needs author and year.
+    """
+    return (
+        passages.join(cites.select("citation_id", "citation_key", "thesis_page", "thesis_context"), "citation_id")
+        .join(sources.select("source_id", "reference_id", "filename"), "source_id")
+        .join(refs.select("reference_id", "author", "year"), "reference_id", "left")
+        .select(
+            "job_id", "passage_id", "citation_key", "thesis_context", "thesis_page", "source_page", "matched_passage",
+            "confidence", "reasoning", "filename", ref_label(F.col("author"), F.col("year")).alias("reference_label"),
+        )
+    )
+
+
 def no_source(matches: DataFrame, sources: DataFrame) -> DataFrame:
     """Matched citations whose reference has no finished source."""
     done = sources.filter("status = 'done'").select("job_id", "reference_id").distinct()

@@ -8,6 +8,7 @@ from naskah.functions import citations as C
 from naskah.operators import citations as ops
 from naskah.plans.fixtures import view
 from naskah.plans.registry import query, spans_sql
+from naskah.session import materialize
 
 # RE2 has no Unicode word boundaries to translate, so the plain patterns run as they are.
 _NAME = r"\p{Lu}[\p{L}''\-]+"
@@ -179,6 +180,16 @@ def group_citations(spark, sf):
     return ops.group_citations(ops.citations(view(spark, sf, "plant_pages")))
 
 
+@query(
+    "ag1_citation_members",
+    f"""WITH {CITES} SELECT job_id, citation_key, thesis_page, CAST(start AS INTEGER) AS start, thesis_context,
+        CAST(count(*) OVER (PARTITION BY job_id, citation_key) AS BIGINT) AS occurrences FROM cites""",
+)
+def citation_members(spark, sf):
+    cites = materialize(ops.citations(view(spark, sf, "plant_pages")), "citations")
+    return ops.citation_members(cites).select("job_id", "citation_key", "thesis_page", "start", "thesis_context", "occurrences")
+
+
 @query(
     "ag2_unique_citations",
     f"""WITH {CITES} SELECT job_id, citation_key, thesis_page, thesis_context FROM (

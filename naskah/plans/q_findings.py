@@ -140,6 +140,17 @@ def group_by_rule(spark, sf):
     return CP.group_by_rule(compare_findings(spark, sf))
 
 
+@query(
+    "ag15_rule_members",
+    f"""WITH {BUCKETS} SELECT pair, bucket, category, rule_id, key, CAST(before_count AS BIGINT) AS before_count, CAST(after_count AS BIGINT) AS after_count,
+        CAST(greatest(sum(before_count) OVER g, sum(after_count) OVER g) AS BIGINT) AS weight FROM buckets WINDOW g AS (PARTITION BY pair, bucket, category, rule_id)""",
+)
+def rule_members(spark, sf):
+    return CP.rule_members(compare_findings(spark, sf)).select(
+        "pair", "bucket", "category", "rule_id", "key", "before_count", "after_count", "weight"
+    )
+
+
 _METRICS = {
     "total": "true", "kbbi": "category = 'kbbi'", "eyd": "category = 'eyd'",
     "error": "severity = 'error'", "warning": "severity = 'warning'", "info": "severity = 'info'",

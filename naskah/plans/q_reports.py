@@ -180,6 +180,31 @@ def list_matches(spark, sf):
     return R.list_matches(matches, refs).select("job_id", "citation_key", "reference_id", "match_type", "reference_title")
 
 
+@query(
+    "jn14_list_passages",
+    """SELECT p.job_id, p.passage_id, c.citation_key, c.thesis_context, c.thesis_page, p.source_page, p.matched_passage, p.confidence, p.reasoning,
+         s.filename, r.author || ' (' || r.year || ')' AS reference_label
+       FROM {t_passages} p JOIN {t_citations} c USING (citation_id) JOIN {plant_sources} s ON s.source_id = (p.citation_id // 2) * 10
+       LEFT JOIN (SELECT reference_id, author, CASE WHEN reference_id % 4 <> 0 THEN year END AS year FROM {plant_refs}) r ON r.reference_id = s.reference_id""",
+)
+def list_passages(spark, sf):
+    passages, cites, sources, refs = _v(spark, sf, "t_passages", "t_citations", "plant_sources", "plant_refs")
+    found_in = passages.withColumn("source_id", F.floor(F.col("citation_id") / 2) * 10)
+    dated = refs.withColumn("year", F.when(F.col("reference_id") % 4 != 0, F.col("year")))
+    return R.list_passages(found_in, cites, sources, dated)
+
+
+@query(
+    "tk5_sort_findings",
+    """SELECT category, page_number, "offset", rule_id, CAST(row_number() OVER (ORDER BY CASE category WHEN 'kbbi' THEN 0 ELSE 1 END, page_number NULLS FIRST, "offset" NULLS FIRST, rule_id NULLS FIRST, id) AS BIGINT) AS place
+       FROM {plant_findings} QUALIFY place <= 200""",
+)
+def sort_findings(spark, sf):
+    """The first 200 of the report; the order is the operator's, the limit that of one screen."""
+    top = R.sort_findings(view(spark, sf, "plant_findings")).limit(200)
+    return top.select("category", "page_number", "offset", "rule_id", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
 @query(
     "bt1_passage_batches",
     """SELECT job_id, source_id, CAST(n AS BIGINT) AS citation_count, CAST(row_number() OVER (PARTITION BY job_id ORDER BY source_id) AS INTEGER) AS batch_index FROM (
