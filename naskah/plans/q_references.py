@@ -142,8 +142,7 @@ def ref_title_venue(spark, sf):
     "pf12_bad_references",
     """SELECT job_id, reference_id, author, year, title FROM {plant_refs}
        WHERE author = 'Unknown' OR length(author) <= 1 OR NOT regexp_matches(year, '^(19|20)[0-9]{2}$')
-          OR length(title) < 10 OR length(title) > 300
-       UNION ALL SELECT job_id, reference_id, author, year, title FROM {plant_refs} WHERE title = 'Data mining' AND false""",
+          OR length(title) < 10 OR length(title) > 300""",
 )
 def bad_references(spark, sf):
     return ops.bad_references(view(spark, sf, "plant_refs"))
