@@ -14,7 +14,7 @@ from naskah.llm import bpe, decontamination, jaccard, quality, secrets
 from naskah.session import materialize
 
 BROADCAST_ROWS = 1_000_000
-ORACLE_SQL = None  # models, tokenisation and retrieval have no SQL form; tests compare with brute force
+ORACLE_SQL = None  # models, tokenisation and retrieval have no SQL form; stages are tested one by one
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
