@@ -25,6 +25,10 @@ OPENING = (
     r"|[Kk]ajian|[Rr]iset)\s+)?"
 )
 NARRATIVE = rf"{OPENING}({AUTHOR}{ET_AL}?{AND})\s+\(({YEAR}{PAGE})\)"
+# Everything a narrative citation can hold before its year: the run that ends there, and the year.
+# A run is entered at its first character only, so a page is passed once.
+_RUN = rf"\p{{L}}'\-,&{T._SPACES}"
+NARRATIVE_RUN = rf"(?<![{_RUN}])(?:[{_RUN}]|(?<=al|dkk)\.)++\({YEAR}{T.js(PAGE)}\)"
 CONNECTOR = r"[,&]|\bet\s+al\.?\b|\bdkk\.?\b|\band\b|\bdan\b"
 
 CONTEXT_CHARS = 150
@@ -51,13 +55,13 @@ def citation_key(author: Column, year: Column) -> Column:
 
 
 def is_blacklisted(author: Column) -> Column:
-    return F.get(F.split(T.strip(author), T.WS + "+"), F.lit(0)).isin(AUTHOR_BLACKLIST)
+    return F.regexp_extract(author, rf"\A{T.WS}*({T.NOT_WS}*)", 1).isin(AUTHOR_BLACKLIST)
 
 
 def is_title_fragment(author: Column) -> Column:
     """More than four words and nothing that joins authors."""
-    name = T.strip(author)
-    return ~name.rlike(T.js(CONNECTOR, True)) & (F.size(F.split(name, T.WS + "+")) > 4)
+    many = author.rlike(rf"(?:{T.NOT_WS}++{T.WS}++){{4}}{T.NOT_WS}")
+    return many & ~author.rlike(T.js(CONNECTOR, True))
 
 
 def keep_citation(author: Column) -> Column:
@@ -79,8 +83,24 @@ def context(text: Column, start: Column, end: Column) -> Column:
     return T.strip(T.slice_text(text, new_lo, new_hi))
 
 
-def page_citations(text: Column) -> Column:
-    """All citations of one page: ``array<struct<key,author,year,start,end,context,raw,kind>>``.
+def narrative_spans(text: Column) -> Column:
+    """Matches of ``NARRATIVE`` as ``array<struct<start,end,text>>``.
+
+    A match lies in one run of ``NARRATIVE_RUN`` and ends with it, so the costly pattern reads the runs only.
+    """
+    pattern = T.js(NARRATIVE)
+    tails = F.transform(
+        T.spans(text, NARRATIVE_RUN),
+        lambda s: F.struct(s["end"].alias("end"), F.regexp_extract(s["text"], pattern, 0).alias("text")),
+    )
+    return F.transform(
+        F.filter(tails, lambda t: t["text"] != ""),
+        lambda t: F.struct((t["end"] - F.length(t["text"])).alias("start"), t["end"].alias("end"), t["text"].alias("text")),
+    )
+
+
+def page_citations(text: Column, kind: str | None = None) -> Column:
+    """Citations of one page, of one kind or both: ``array<struct<key,author,year,start,end,context,raw,kind>>``.
 
     Repeats of one key inside one parenthesis are kept once.
     """
@@ -125,7 +145,7 @@ def page_citations(text: Column) -> Column:
     narrative = T.js(NARRATIVE)
     in_prose = F.filter(
         F.transform(
-            T.spans(text, narrative),
+            narrative_spans(text),
             lambda s: out(
                 s,
                 F.regexp_extract(s["text"], narrative, 1),
@@ -135,4 +155,4 @@ def page_citations(text: Column) -> Column:
         ),
         lambda c: ~F.contains(c["author"], F.lit("\n")) & keep_citation(c["author"]),
     )
-    return F.concat(in_parens, in_prose)
+    return {"parenthetical": in_parens, "narrative": in_prose}.get(kind, F.concat(in_parens, in_prose))

@@ -12,10 +12,8 @@ def citations(pages: DataFrame, kind: str | None = None) -> DataFrame:
     """One row per citation of a page, with its sentence context."""
     hit = F.col("hit")
     found = pages.select(
-        "job_id", "page_number", "content", F.explode(C.page_citations(F.col("content"))).alias("hit")
+        "job_id", "page_number", "content", F.explode(C.page_citations(F.col("content"), kind)).alias("hit")
     )
-    if kind:
-        found = found.filter(hit["kind"] == kind)
     return found.select(
         "job_id",
         F.col("page_number").alias("thesis_page"),

@@ -132,7 +132,7 @@ def citation_key(spark, sf):
                     )
                 ),
                 F.transform(
-                    T.spans(F.col("content"), narr),
+                    C.narrative_spans(F.col("content")),
                     lambda s: F.struct(
                         F.regexp_extract(s["text"], narr, 1).alias("author"),
                         F.regexp_extract(s["text"], narr, 2).alias("year"),
