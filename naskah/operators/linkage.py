@@ -9,6 +9,7 @@ from naskah.constants import TITLE_ACCEPT
 from naskah.functions import passages as P
 from naskah.functions import similarity as S
 from naskah.functions import text as T
+from naskah.session import materialize
 
 YEAR_WINDOW = 2
 YEAR_COST = DISTANCE_COST = 0.15
@@ -169,7 +170,11 @@ def match_candidates(keys: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def match_citations(keys: DataFrame, refs: DataFrame) -> DataFrame:
-    """Best reference per citation key; keys without one stay as ``unmatched``."""
+    """Best reference per citation key; keys without one stay as ``unmatched``.
+
+    The distinct keys feed three branches; they are written once, as finding them reads every page.
+    """
+    keys = materialize(keys.select("job_id", "citation_key").distinct(), "citation-keys")
     best = (
         match_candidates(keys, refs)
         .groupBy("job_id", "citation_key")
@@ -181,8 +186,7 @@ def match_citations(keys: DataFrame, refs: DataFrame) -> DataFrame:
         )
     )
     return (
-        keys.select("job_id", "citation_key").distinct()
-        .join(best, ["job_id", "citation_key"], "left")
+        keys.join(best, ["job_id", "citation_key"], "left")
         .select(
             "job_id",
             "citation_key",
@@ -221,7 +225,8 @@ def pair_files(files: DataFrame, refs: DataFrame) -> DataFrame:
     """Best reference of the same job for each file (``job_id, file_id, title, first_page``).
 
     A score above 0 needs a shared token or the reference title inside the file text, so
-    candidates share a token or the first characters of the title.
+    candidates share a token or the first characters of the title. A file emits only those first
+    characters that a title of its job has; each is at most ``_GRAM`` letters, so a job has few of them.
     """
     query = T.strip(
         F.concat_ws(
@@ -235,25 +240,6 @@ def pair_files(files: DataFrame, refs: DataFrame) -> DataFrame:
         files.select("job_id", "file_id", T.fold_title(query).alias("norm"))
         .withColumn("tokens", _title_tokens(norm))
     )
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(_GRAM)),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length(norm)),
-                    lambda p: F.concat(F.lit("g:"), F.substring(norm, p, n)),
-                ),
-            )
-        )
-    )
-    q_keys = q.filter(F.size("tokens") > 0).withColumn(
-        "pair_key",
-        F.explode(
-            F.concat(
-                F.transform(F.array_distinct("tokens"), lambda t: F.concat(F.lit("t:"), t)), grams
-            )
-        ),
-    )
     c = (
         refs.groupBy("job_id", "author", "year", F.col("title").alias("ref_title"))
         .agg(F.min("reference_id").alias("reference_id"))
@@ -264,8 +250,14 @@ def pair_files(files: DataFrame, refs: DataFrame) -> DataFrame:
         )
         .withColumn("last_name", F.element_at(F.split(T.fold_title(F.col("author")), " "), -1))
     )
-    c_keys = c.withColumn(
-        "pair_key",
+    heads = c.filter("title_norm <> ''").groupBy("job_id").agg(F.collect_set(F.left("title_norm", F.lit(_GRAM))).alias("heads"))
+    met = F.filter(F.coalesce("heads", F.array().cast("array<string>")), lambda h: F.contains(norm, h))
+    q_keys = q.filter(F.size("tokens") > 0).join(heads, "job_id", "left").select(
+        "job_id", "file_id",
+        F.explode(F.array_distinct(F.concat(_tagged("t:", F.col("tokens")), _tagged("g:", met)))).alias("pair_key"),
+    )
+    c_keys = c.select(
+        "job_id", "reference_id",
         F.explode(
             F.concat(
                 F.transform(F.array_distinct("c_tokens"), lambda t: F.concat(F.lit("t:"), t)),
@@ -274,10 +266,11 @@ def pair_files(files: DataFrame, refs: DataFrame) -> DataFrame:
                     F.array(F.concat(F.lit("g:"), F.left("title_norm", F.lit(_GRAM)))),
                 ).otherwise(F.array().cast("array<string>")),
             )
-        ),
+        ).alias("pair_key"),
     )
-    pairs = q_keys.join(c_keys, ["job_id", "pair_key"]).dropDuplicates(
-        ["job_id", "file_id", "reference_id"]
+    pairs = (
+        q_keys.join(c_keys, ["job_id", "pair_key"]).select("job_id", "file_id", "reference_id").distinct()
+        .join(q, ["job_id", "file_id"]).join(c, ["job_id", "reference_id"])
     )
     hits = F.size(F.filter("c_tokens", lambda t: F.array_contains(F.col("tokens"), t)))
     share = F.when(F.size("c_tokens") > 0, hits / F.size("c_tokens")).otherwise(0.0)

@@ -9,6 +9,7 @@ from naskah.operators import linkage as L
 from naskah.plans.fixtures import table, view
 from naskah.plans.q_citations import CITES
 from naskah.plans.registry import query
+from naskah.session import materialize
 
 _FOLD = "trim(regexp_replace(regexp_replace(strip_accents(lower({x})), '[–—]', '-', 'g'), '\\s*-\\s*', '-', 'g'))"
 
@@ -65,7 +66,8 @@ def unmatched_kept(spark, sf):
     f"WITH {MATCH} SELECT job_id, citation_key, reference_id, round(conf, 6) AS confidence FROM bs",
 )
 def best_reference(spark, sf):
-    keys = C.citations(view(spark, sf, "plant_pages")).select("job_id", "citation_key")
+    keys = C.citations(view(spark, sf, "plant_pages")).select("job_id", "citation_key").distinct()
+    keys = materialize(keys, "citation-keys")
     from naskah.operators.reports import best_per
 
     return best_per(
@@ -106,7 +108,7 @@ def unused_references(spark, sf):
 def track_diagnostics(spark, sf):
     from naskah.operators.reports import track_diagnostics as op
 
-    cites = C.citations(view(spark, sf, "plant_pages"))
+    cites = materialize(C.citations(view(spark, sf, "plant_pages")).select("job_id", "citation_key"), "citations")
     refs = view(spark, sf, "plant_refs")
     return op(cites, refs, L.match_citations(cites, refs)).withColumn("match_rate", F.round("match_rate", 6))
 
