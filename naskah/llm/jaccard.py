@@ -3,11 +3,13 @@
 A document is its set of distinct five-word shingles; documents with equal sets form a class.
 Two classes of sizes m <= n with Jaccard >= 0.75 share at least ceil(0.75 n) shingles. In one
 common order of all shingles their prefixes of ``size - ceil(0.75 size) + l`` therefore share at
-least ``l`` shingles. The order puts shingles seen in many documents last. Each class picks the
-``l`` with the least estimated cost: one posting more per step, against candidates, estimated as
-the list lengths of the prefix divided by ``l`` (a shingle not known to be common counts one). As a
-pair shares ``l`` shingles, the larger class leaves its ``l - 1`` longest lists out of the search:
-one shared list is always left.
+least ``l`` shingles. The order puts shingles seen in many documents last. For the rounds below, each
+class picks the ``l`` with the least estimated cost: one posting more per step, against candidates,
+estimated as the list lengths of the prefix divided by ``l`` (a shingle not known to be common counts
+one). When pairs are formed, the sizes of both decide: a link needs ``ceil(3 (m + n) / 7)`` shingles in
+common, of which as many must be in both longest prefixes as do not fit behind them. The larger class
+leaves all but one of so many lists out of the search, its longest ones: one shared list is always left.
+A smaller class with fewer lists in all is no partner.
 
 Postings travel as packed blocks per bucket; a bucket keeps the shingles of more than one class.
 Large groups of near copies would give all pairs of the group. Before pairs are formed, rounds of
@@ -16,7 +18,8 @@ yet in the component of a centre is matched with it, the ``NEAR`` best matches o
 component with a centre, are verified, and verified links merge components. Rounds end when nothing
 links, or after ``ROUNDS``. Afterwards pairs are formed only between classes of different
 components, which is all that components need; no pair that could still join two components is
-left out, however the rounds went.
+left out, however the rounds went. One class in ``SLICE`` comes first as the larger one, so that its
+links close lists before the others follow.
 
 Verification is exact on the shingle hashes (64 bits): a parity bitmap, whose difference never
 exceeds that of the sets, discards most false candidates before the sets are read.
@@ -48,7 +51,8 @@ HOT_SHINGLES = 1 << 16  # shingles with a place in the order; all others come be
 BITS = 1024
 BUCKET_POSTINGS = 250_000
 BROADCAST_ROWS = 1_000_000
-ROUNDS = 6
+ROUNDS = 3
+SLICE = 8
 CENTRES = 4
 NEAR = 4
 _U64 = np.uint64
@@ -319,6 +323,48 @@ def _sized(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
 
 
+def _in_prefixes(na: Column, nb: Column) -> Column:
+    """How many shingles that both longest prefixes hold a link of sizes ``na`` >= ``nb`` needs.
+
+    Behind the longer prefix lie ``ceil(0.75 na) - LONGEST`` shingles, behind the other no more.
+    """
+    behind = F.greatest(F.ceil(PERCENT * na / 100) - LONGEST, F.lit(0))
+    return F.ceil(PERCENT * (na + nb) / (100 + PERCENT)) - behind
+
+
+def _pairs(postings: DataFrame, larger: Column) -> DataFrame:
+    """(a, b): pairs of open lists that can be linked, the larger class chosen by ``larger``."""
+    lengths = postings.groupBy("token").agg(F.count("*").alias("length"))
+    own = Window.partitionBy("sig")  # one class: at most its prefix
+    ranked = materialize(
+        postings.join(lengths, "token").select(
+            "token", "sig", F.col("n").cast("long").alias("n"), "component", _sized(F.col("n")).alias("k"),
+            F.row_number().over(own.orderBy(F.desc("length"), "token")).alias("place"), F.count("*").over(own).alias("lists"),
+        ),
+        "ranked",
+    )
+    n, na, nb = F.col("n"), F.col("na"), F.col("nb")
+    # what the smallest partner asks of the larger class, and the equal or the largest one of the smaller; one less for rounding
+    capped = n == LARGEST
+    as_larger = _in_prefixes(n, F.ceil(PERCENT * n / 100))
+    as_smaller = F.least(_in_prefixes(n, n), _in_prefixes(F.floor(100 * n / PERCENT), n) - 1)
+    left = ranked.where(larger & (capped | (F.col("place") >= as_larger))).select(
+        "token", F.col("sig").alias("a"), n.alias("na"), F.col("component").alias("ca"), "place", "k"
+    )
+    right = ranked.where(capped | (100 * n >= PERCENT * LARGEST) | (F.col("lists") >= as_smaller)).select(
+        "token", F.col("sig").alias("b"), n.alias("nb"), F.col("component").alias("cb"), "lists",
+        F.explode(F.array("k", F.col("k") + 1)).alias("k"),
+    )
+    # sizes in ascending order (b before a), so that each pair of a list comes once
+    ordered = (nb < na) | ((nb == na) & (F.col("b") < F.col("a")))
+    enough = F.least("place", "lists") >= _in_prefixes(na, nb)
+    return (
+        left.join(right, ["token", "k"])
+        .where(ordered & (F.col("ca") != F.col("cb")) & (100 * nb >= PERCENT * na) & ((na == LARGEST) | enough))
+        .select("a", "b").distinct()
+    )
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, class_id, component_id of every row of ``docs``.
 
@@ -349,6 +395,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     lists = postings.where("level = 1").select("token", "sig", "best", _sized(F.col("n")).alias("k"))
     for turn in range(ROUNDS):
         open_rows = materialize(_open_lists(lists, labels, ["token", "k"]).select("token", "k", "sig", "best", "component"), "lists")
+        lists = open_rows.drop("component")  # components only grow, so a list of a single one stays so
         near = _nearest_centres(open_rows, turn)
         found = _verify(near, classes, sets, docs, key, text)
         if found.isEmpty():
@@ -356,27 +403,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         links.append(found)
         labels = materialize(_merge(labels, found), "labels")
 
-    rest = materialize(_open_lists(postings, labels, ["token"]), "open-postings")
-    lengths = materialize(rest.groupBy("token").agg(F.count("*").alias("length")), "list-lengths")
-    heavy = Window.partitionBy("sig").orderBy(F.desc("length"), "token")  # one class: at most its prefix
-    k = _sized(F.col("n"))
-    left = (
-        rest.where("level <= best").join(lengths, "token")
-        .withColumn("place", F.row_number().over(heavy)).where("place >= best")
-        .select("token", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("best").alias("l"), F.col("component").alias("ca"), k.alias("k"))
-    )
-    right = rest.select(
-        "token", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("level").alias("lb"), F.col("component").alias("cb"),
-        F.explode(F.array(k, k + 1)).alias("k"),
-    )
-    # sizes in ascending order (b before a), so that each pair of a list comes once
-    ordered = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    pairs = (
-        left.join(right, ["token", "k"])
-        .where(ordered & (F.col("ca") != F.col("cb")) & (100 * F.col("nb") >= PERCENT * F.col("na")) & (F.col("lb") <= F.col("l")))
-        .select("a", "b").distinct()
-    )
-    links.append(_verify(pairs, classes, sets, docs, key, text))
+    first = F.pmod(F.xxhash64("sig"), F.lit(SLICE)) == 0
+    for larger in (first, ~first):
+        postings = materialize(_open_lists(postings, labels, ["token"]), "open-postings")
+        found = _verify(_pairs(postings, larger), classes, sets, docs, key, text)
+        links.append(found)
+        postings = postings.drop("component")
+        labels = materialize(_merge(labels, found), "labels")
     labels = materialize(components(_together(links)), "labels")
 
     named = classes.select("sig", "n", "id").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
