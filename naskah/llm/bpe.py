@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHIFT, MASK = 6, 63
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 100_000  # of each of two generations; an entry takes about half a kilobyte
 CACHE_LENGTH = 64
 
 
@@ -42,6 +42,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.tokens = {i: t for t, i in ranks.items()}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -102,9 +103,10 @@ class Codec:
         return out
 
     def _pack(self, word: str) -> bytes:
-        packed = np.asarray(self.merge(word.encode()), "<u4").tobytes()
+        packed = self.older.get(word) or np.asarray(self.merge(word.encode()), "<u4").tobytes()
         if len(word) <= CACHE_LENGTH:
             if len(self.cache) >= CACHE_ENTRIES:
+                self.older = dict(self.cache)  # words used again move back to ``cache``
                 self.cache.clear()
             self.cache[word] = packed
         return packed
