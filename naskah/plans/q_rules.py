@@ -122,9 +122,7 @@ NAMES = {
 def _one_rule(rule: R.Rule):
     def run(spark, sf):
         pages = view(spark, sf, "plant_pages")
-        return R.scan_rules(
-            pages, [rule], R.page_skip_ranges(F.col("content"), F.col("code_json"))
-        ).drop("rule_id", "severity")
+        return R.scan_rules(pages, [rule], T.parse_ranges(F.col("code_json")), links=True).drop("rule_id", "severity")
 
     return run
 
@@ -144,9 +142,7 @@ for _rule in R.RULES:
 )
 def all_rules(spark, sf):
     pages = view(spark, sf, "plant_pages")
-    hits = R.scan_rules(
-        pages, R.RULES, R.page_skip_ranges(F.col("content"), F.col("code_json"))
-    )
+    hits = R.scan_rules(pages, R.RULES, T.parse_ranges(F.col("code_json")), links=True)
     return hits.groupBy("rule_id", "severity").agg(
         F.count("*").alias("n"), F.sum("length").alias("chars")
     )
